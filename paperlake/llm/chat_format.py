@@ -6,7 +6,7 @@ conversation's turn, and its reference and expanded token count are recorded. A
 
     <turn role>\\ncontent</turn>\\n
 
-``&`` and ``<`` of roles and texts are written ``&amp;`` and ``&lt;``, so that no text can hold a control string and
+``&`` and ``<`` of roles and texts are written ``&amp;`` and ``&lt;``, line ends of roles ``&#10;``, so that no text can hold a control string and
 every text comes back unchanged. The loss mask lists (start, length) in code points of what the assistant says.
 
 Token counts: an image counts ceil(width / 14) * ceil(height / 14), audio 25 a second, a document 256 a page, a text
@@ -38,6 +38,14 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit("\n"), F.lit("&#10;"))
+
+
+def unescape_role(role: Column) -> Column:
+    return unescape(F.replace(role, F.lit("&#10;"), F.lit("\n")))
+
+
 def part_tokens(part: Column) -> Column:
     image = F.ceil(part["width"] / PATCH) * F.ceil(part["height"] / PATCH)
     return (
@@ -83,7 +91,7 @@ def format_chat(
     content, refs, tokens = visit(F.col("parts"))
     rows = rows.select("conv", F.struct("turn", "role", content.alias("content"), refs.alias("refs"), tokens.alias("tokens")).alias("t"))
     talks = rows.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    head = lambda t: F.concat(F.lit("<turn "), escape(t["role"]), F.lit(">\n"))
+    head = lambda t: F.concat(F.lit("<turn "), escape_role(t["role"]), F.lit(">\n"))
     whole = F.transform("t", lambda t: F.concat(head(t), t["content"], F.lit(END)))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
 
@@ -105,7 +113,7 @@ def read_chat(formatted: Column) -> Column:
     """The turns of a formatted conversation, [(role, text)], placeholders left as they stand."""
     turns = F.filter(F.split(formatted, END), lambda x: x != "")
     pattern = r"(?s)^<turn ([^<]*?)>\n(.*)$"
-    return F.transform(turns, lambda x: F.struct(unescape(F.regexp_extract(x, pattern, 1)).alias("role"), unescape(F.regexp_extract(x, pattern, 2)).alias("text")))
+    return F.transform(turns, lambda x: F.struct(unescape_role(F.regexp_extract(x, pattern, 1)).alias("role"), unescape(F.regexp_extract(x, pattern, 2)).alias("text")))
 
 
 def masked_text(formatted: Column, mask: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, embedding_dedup, exact_dedup, minhash_dedup, mixing, suffix_dedup, toxicity, url_filter
+from . import bpe, chat_format, embedding_dedup, exact_dedup, line_dedup, minhash_dedup, mixing, suffix_dedup, toxicity, url_filter
 from .common import read
 
 #: The contract's rules: host, path, verdict.
@@ -90,8 +90,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_minhash_dedup, op3_bpe, op4_url_filters, op5_chat_formatting, op6_embedding_dedup, op7_toxicity, op8_source_mixing, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_minhash_dedup, op3_bpe, op4_url_filters, op5_chat_formatting, op6_embedding_dedup, op7_toxicity, op8_source_mixing, op9_exact_dedup, op10_line_dedup)}
 
 
 _OP4 = """
@@ -113,7 +118,7 @@ WITH turns AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 marked AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth,
-         length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) + length(replace(replace(role, '&', '&amp;'), '<', '&lt;')) + 16 AS chars FROM turns)
+         length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), chr(10), '&#10;')) + 16 AS chars FROM turns)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
