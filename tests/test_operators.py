@@ -199,9 +199,9 @@ def test_statistics(spark):
     u = S.mann_whitney(d, "x", F.col("g") == "a").first()
     assert u.u == 0.5 and 0.1 < u.p < 0.3
     f = S.anova(d, "x", "g").first()
-    assert f.f == pytest.approx(1.8272, abs=1e-3) and f.p == pytest.approx(0.2693, abs=1e-3)
+    assert f.f == pytest.approx((361 / 30) / (115 / 6 / 3)) and f.p == pytest.approx(0.2635, abs=2e-3)
     c = S.chi_square(spark.createDataFrame([("a", 1)] * 10 + [("a", 2)] * 20 + [("b", 1)] * 30 + [("b", 2)] * 5, "r string, c int"), "r", "c").first()
-    assert c.dof == 1 and c.chi2 == pytest.approx(18.2, abs=0.3) and c.p < 1e-4
+    assert c.dof == 1 and c.chi2 == pytest.approx(16.58, abs=0.02) and c.p < 1e-4
     assert S.gammainc_upper(0.5, 1.92) == pytest.approx(0.05004, abs=1e-4) and S.betainc(2, 3, 0.5) == pytest.approx(0.6875)
 
 
@@ -276,3 +276,59 @@ def test_session_memory(spark):
     t = spark.createDataFrame([(1, k, "q", [f"W{k}", "W0"]) for k in range(12)], "session_id int, seq int, query string, paper_ids array<string>")
     assert [(r.seq, r.number) for r in SS.memory(t).orderBy("seq").collect()] == [(k + 2, k + 1) for k in range(10)]
     assert SS.prior_ids(t).first().paper_ids[:3] == ["W11", "W0", "W10"]
+
+
+def test_visual_search_and_discovery(spark):
+    from paperlake.plans import visual
+
+    item = lambda i, p, a, b: (i, p, [a, 1.0], [b, 1.0])
+    schema = "id string, paper_id string, image array<double>, text array<double>"
+    figures = spark.createDataFrame([item("f1", "p1", 1.0, 0.0), item("f2", "p2", 0.0, 1.0)], schema)
+    tables = spark.createDataFrame([item("t1", "p1", 0.5, 0.5)], schema)
+    q = spark.createDataFrame([(1, [1.0, 1.0]), (2, [0.0, 1.0])], "query_id int, vector array<double>")
+    got = visual.visual_search(q, q.where("query_id = 1"), figures, tables, spark.createDataFrame([(1, "p1")], "query_id int, paper_id string"), 2)
+    assert [(r.query_id, r.id) for r in got["figure"].collect()] == [(1, "f1")] and got["papers"].count() == 1
+    hits = spark.createDataFrame([(1, 0, "a", 0.2), (1, 1, "a", 0.9), (1, 0, "b", 0.5)], "query_id int, sub int, paper_id string, score double")
+    seen = spark.createDataFrame([(1, "b", 1.0)], "query_id int, paper_id string, visual double")
+    assert [(r.paper_id, round(r.score, 6)) for r in visual.discover(hits, seen, 5).collect()] == [("a", 0.7), ("b", 0.3)]
+
+
+def test_ingest(spark, sf_dir):
+    from paperlake.catalog.ingest_queries import works
+    from paperlake.plans import ingest
+
+    g = star_graph(spark, sf_dir)
+    b = ingest.split(works(spark, sf_dir), within=False)
+    after = ingest.upsert(g, b)
+    titles = {r.id: r.title for r in after.papers.where("id in ('W1', 'W11')").collect()}
+    assert titles["W1"] == "Order 1" and titles["W11"].startswith("Order 11 ")
+    assert after.papers.select("id").distinct().count() == after.papers.count()
+    assert ingest.citation_network(g).where("weight <> 1").count() == 0
+
+
+def test_files(spark, tmp_path):
+    d = spark.createDataFrame([(1, 'a "b"\nc'), (2, None)], "id int, text string")
+    files.write_records(d, str(tmp_path / "json"))
+    assert files.read_records(spark, str(tmp_path / "json"), "id int, text string").count() >= 1
+    d.coalesce(1).write.option("header", True).option("escape", '"').csv(str(tmp_path / "csv"))
+    assert [r.text for r in files.read_csv(spark, str(tmp_path / "csv"), "id int, text string").orderBy("id").collect()] == ['a "b"\nc', None]
+    for k in (0, 1):
+        spark.range(k * 10, k * 10 + 5).coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
+    assert [r.id for r in files.read_limited(spark, [str(tmp_path / "p1"), str(tmp_path / "p0")], 7).collect()] == [0, 1, 2, 3, 4, 10, 11]
+
+
+def test_models(spark):
+    from paperlake.functions import models
+
+    class Lengths:
+        def embed(self, items):
+            if any(x is None for x in items):
+                raise ValueError
+            return [[float(len(x))] for x in items]
+
+        def score(self, pairs):
+            return [len(t) / 10 for _, t in pairs]
+
+    d = spark.createDataFrame([("ab",), (None,), ("abc",)], "t string")
+    assert sorted(str(r.v) for r in d.select(models.embedded(F.col("t"), Lengths).alias("v")).collect()) == ["None", "[2.0]", "[3.0]"]
+    assert d.where("t is not null").select(models.reranked(F.lit("q"), F.col("t"), Lengths).alias("s")).agg(F.max("s")).first()[0] == 0.3
