@@ -6,8 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from paperlake.llm import bpe, chat_format, embedding_dedup, exact_dedup, line_dedup, minhash_dedup, mixing, queries, suffix_dedup, toxicity, url_filter
-from paperlake.llm.common import components
+from paperlake.llm import bpe, chat_format, common, embedding_dedup, exact_dedup, line_dedup, minhash_dedup, mixing, queries, suffix_dedup, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, n long, key string, keep_id string"
 RNG = np.random.default_rng(5)
@@ -38,10 +37,12 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [500_000, 40])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "FOREST_EDGES", most)
     r = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, k) for k in range(4000, 4100)] + [(1, 1), (None, 2)]
-    got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {x.node: x.root for x in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     up = {}
 
     def top(x):
@@ -55,7 +56,7 @@ def test_components(spark):
             up[max(a, b)] = min(a, b)
     nodes = {x for e in edges for x in e if x is not None}
     assert {x: got.get(x, x) for x in nodes} == {x: top(x) for x in nodes}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 @pytest.mark.parametrize("length", [12, 90])
@@ -325,20 +326,28 @@ def test_exact_dedup_spells_out_colliding_chunks(spark, docs, monkeypatch):
 
 def brute_lines(rows):
     rows = sorted(((-1 if i is None else i, t or "") for i, t in rows))
-    seen, out = [], {}
+    seen, seen_by_size, out = set(), defaultdict(list), {}
     for i, t in rows:
         kept = []
         for line in t.split("\n"):
             w = line.encode().lower().split()
-            hit = w and any(w == s or (len(w) >= 5 and len(s) >= 5 and distance(w, s) <= 1) for s in seen)
-            if w:
-                seen.append(w)
+            hit = w and (tuple(w) in seen or (len(w) >= 5 and any(near(w, s) for s in seen_by_size[len(w) - 1] + seen_by_size[len(w)] + seen_by_size[len(w) + 1])))
+            if w and tuple(w) not in seen:
+                seen.add(tuple(w))
+                seen_by_size[len(w)].append(w)
             if not hit:
                 kept.append(line)
         out[i] = "\n".join(kept)
     return out
 
 
+def near(a, b):
+    """Edit distance of at most one for sizes that differ by at most one, sharing an end or half before it is computed."""
+    if len(a) < 5 or len(b) < 5 or (a[: len(a) // 2] != b[: len(a) // 2] and a[-(len(a) // 2) :] != b[-(len(a) // 2) :] and a[: len(b) // 2] != b[: len(b) // 2] and a[-(len(b) // 2) :] != b[-(len(b) // 2) :]):
+        return False
+    return distance(a, b) <= 1
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
