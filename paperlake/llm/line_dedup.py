@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,52 +36,67 @@ from .membership import split_by_key
 
 EDITS, MIN_WORDS = 1, 5
 FIRST, LAST = 1, 2
+#: Seed of a line's second hash.
+OTHER = 1 << 40
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
 def words_of(line: str) -> list[bytes]:
     return line.encode("utf-8", "surrogatepass").lower().split()
 
 
-def hashed(*parts) -> int:
-    """A signed 64-bit key of words and marks."""
-    x = xxhash.xxh3_64_intdigest(b"\n".join(p if isinstance(p, bytes) else b"#%d" % p for p in parts))
-    return x - (1 << 64) if x >> 63 else x
+def hashed(words: list[bytes], seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(b"\n".join(words), seed)
 
 
-def half_keys(words: list[bytes]) -> list[tuple[int, int]]:
-    """(side, key) of the halves that a line within one edit shares one of: of n words and of n and one more."""
+def signed(keys: list[int]) -> pa.Array:
+    return pa.array(np.array(keys, np.uint64).view(np.int64))
+
+
+def half_keys(words: list[bytes]) -> list[int]:
+    """Keys of the first and last halves that a line within one edit shares one of, in turn: of n words and of n and one more."""
+    n = len(words)
+    out = []
+    for h in {n // 2, (n - 1) // 2}:
+        out += (hashed(words[:h], 2 * h + FIRST), hashed(words[n - h :], 2 * h + LAST))
+    return out
+
+
+def sequence_hashes(words: list[bytes]) -> tuple[int, np.ndarray]:
+    """The hash of a sequence of words, and of it without each of them: sums of word hashes times powers of a base."""
     n = len(words)
-    sizes = {n // 2, (n - 1) // 2}
-    return [(side, hashed(side, h, *(words[:h] if side == FIRST else words[n - h :]))) for h in sizes for side in (FIRST, LAST)]
+    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, BASE)]))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64) * powers[:n])])
+    # What stands behind a missing word moves one place to the front.
+    without = (sums[:-1] + (sums[-1] - sums[1:]) * INVERSE) ^ np.uint64(n - 1)
+    return int(sums[-1]) ^ n, without
 
 
-def variants(words: list[bytes], sides: int) -> list[tuple[int, int]]:
-    """(key, place) of the line itself (place -1) and of its deletions in the parts that a shared half leaves open."""
+def variants(words: list[bytes], sides: int) -> tuple[np.ndarray, list[int]]:
+    """Keys and places of the line itself (place -1) and of its deletions in the parts that a shared half leaves open."""
     n = len(words)
     low, high = (n - 1) // 2, n - (n - 1) // 2
     places = [i for i in range(n) if (sides & FIRST and i >= low) or (sides & LAST and i < high)]
-    return [(hashed(*words), -1)] + [(hashed(*words[:i], *words[i + 1 :]), i) for i in places]
+    own, without = sequence_hashes(words)
+    return np.concatenate([np.array([own], np.uint64), without[places]]).view(np.int64), [-1, *places]
 
 
-def within(a: list[bytes], b: list[bytes], edits: int = EDITS) -> bool:
-    """Whether the edit distance in words is at most ``edits``."""
-    if abs(len(a) - len(b)) > edits:
+def within(a: list[bytes], b: list[bytes]) -> bool:
+    """Whether one inserted, deleted or replaced word at most turns a into b: nothing else lies between what they share at both ends."""
+    if abs(len(a) - len(b)) > EDITS:
         return False
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row = row, [i] + [0] * len(b)
-        lo, hi = max(1, i - edits), min(len(b), i + edits)
-        if lo > 1:
-            row[lo - 1] = edits + 1
-        for j in range(lo, hi + 1):
-            row[j] = min(last[j - 1] + (x != b[j - 1]), row[j - 1] + 1, last[j] + 1 if j < i + edits else edits + 1)
-        if hi < len(b):
-            row[hi + 1 :] = [edits + 1] * (len(b) - hi)
-    return row[-1] <= edits
+    n, k = min(len(a), len(b)), 0
+    while k < n and a[k] == b[k]:
+        k += 1
+    m = 0
+    while m < n - k and a[-1 - m] == b[-1 - m]:
+        m += 1
+    return max(len(a), len(b)) - k - m <= EDITS
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(k1, k2, line, own, other, halves): the line's two hashes and, for long lines, its half keys as (side, key)."""
+    """(k1, k2, line, own, other, halves): the line's two hashes and, for long lines, its half keys, first and last in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -91,21 +107,19 @@ def _lines(docs: DataFrame) -> DataFrame:
                     if words:
                         who.append(i)
                         line.append(k)
-                        own.append(hashed(*words))
-                        other.append(hashed(b"other", *words))
+                        body = b"\n".join(words)
+                        own.append(xxhash.xxh3_64_intdigest(body))
+                        other.append(xxhash.xxh3_64_intdigest(body, OTHER))
                         if len(words) >= MIN_WORDS:
                             flat += half_keys(words)
                         ends.append(len(flat))
                 if len(who) > 50_000 or i + 1 == len(b):
-                    pairs = pa.StructArray.from_arrays([pa.array([f[0] for f in flat], pa.int32()), pa.array([f[1] for f in flat], pa.int64())], names=["side", "key"])
                     at = pa.array(who, pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("k1").take(at), b.column("k2").take(at), pa.array(line, pa.int32()), pa.array(own, pa.int64()), pa.array(other, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
-                        names=["k1", "k2", "line", "own", "other", "halves"],
-                    )
+                    halves = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(flat))
+                    yield pa.RecordBatch.from_arrays([b.column("k1").take(at), b.column("k2").take(at), pa.array(line, pa.int32()), signed(own), signed(other), halves], names=["k1", "k2", "line", "own", "other", "halves"])
                     who, line, own, other, flat, ends = [], [], [], [], [], [0]
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, line int, own long, other long, halves array<struct<side:int,key:long>>")
+    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, line int, own long, other long, halves array<long>")
 
 
 def _variants(docs: DataFrame) -> DataFrame:
@@ -118,8 +132,8 @@ def _variants(docs: DataFrame) -> DataFrame:
                 lines = b.column("text")[i].as_py().split("\n")
                 out: dict = {n: [] for n in kinds.names}
                 for w in b.column("want")[i].as_py():
-                    made = variants(words_of(lines[w["line"]]), w["sides"])
-                    row = (b.column("k1")[i].as_py(), b.column("k2")[i].as_py(), w["line"], w["own"], w["other"], lines[w["line"]], [m[0] for m in made], [m[1] for m in made])
+                    keys, places = variants(words_of(lines[w["line"]]), w["sides"])
+                    row = (b.column("k1")[i].as_py(), b.column("k2")[i].as_py(), w["line"], w["own"], w["other"], lines[w["line"]], keys.tolist(), places)
                     for n, x in zip(kinds.names, row, strict=True):
                         out[n].append(x)
                 yield pa.RecordBatch.from_pydict(out, schema=kinds)
@@ -141,9 +155,9 @@ def removed_lines(keyed: DataFrame) -> DataFrame:
     lines = cut(_lines(keyed))
     place = F.struct("k1", "k2", "line")
     distinct = cut(lines.groupBy("own", "other").agg(F.min(place).alias("at"), F.first("halves").alias("halves")))
-    halves = distinct.select("own", "other", F.explode("halves").alias("h")).select("own", "other", "h.side", "h.key")
-    shared = halves.groupBy("side", "key").agg(F.count("*").alias("n")).where("n > 1").select("side", "key")
-    able = halves.join(shared, ["side", "key"]).groupBy("own", "other").agg(F.bit_or("side").alias("sides"))
+    halves = distinct.select("own", "other", F.posexplode("halves").alias("place", "key")).select("own", "other", "key", F.when(F.col("place") % 2 == 0, FIRST).otherwise(LAST).alias("side"))
+    shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    able = halves.join(shared, "key").groupBy("own", "other").agg(F.bit_or("side").alias("sides"))
     wanted = able.join(distinct.select("own", "other", "at"), ["own", "other"]).select("at.k1", "at.k2", F.struct("at.line", "sides", "own", "other").alias("w"))
     lists = cut(wanted.groupBy("k1", "k2").agg(F.collect_list("w").alias("want")))
     once = split_by_key(keyed, lists, ["k1", "k2"])[0].join(lists, ["k1", "k2"])
