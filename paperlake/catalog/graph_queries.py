@@ -65,7 +65,7 @@ def g_enrich_by_ids(spark, sf_dir):
 @query("g_saved_demo", graph("SELECT p.id AS paper_id, title, coalesce(authors, []) AS authors, venue FROM papers p LEFT JOIN paper_authors a ON a.paper_id = p.id LEFT JOIN paper_venue v ON v.paper_id = p.id ORDER BY p.id LIMIT 10"))
 def g_saved_demo(spark, sf_dir):
     g = star_graph(spark, sf_dir)
-    return G.enrich(g, g.papers.orderBy("id").limit(10)).select("paper_id", "title", "authors", "venue")
+    return G.enrich(g, g.papers.orderBy("id").limit(10), few=True).select("paper_id", "title", "authors", "venue")
 
 
 @query("g_database_stats", graph("SELECT 'papers' AS what, count(*) AS n FROM papers UNION ALL SELECT 'authors', count(*) FROM authors UNION ALL SELECT 'venues', count(*) FROM venues UNION ALL SELECT 'institutions', count(*) FROM institutions UNION ALL SELECT 'authored', count(*) FROM authored UNION ALL SELECT 'published_in', count(*) FROM published_in UNION ALL SELECT 'associated_with', count(*) FROM associated_with UNION ALL SELECT 'cites', count(*) FROM cites"))

@@ -20,22 +20,35 @@ def contains_any(column: Column, names: Sequence[str]) -> Column:
     return F.coalesce(reduce(Column.__or__, [F.contains(F.lower(column), F.lit(n.lower())) for n in names]), F.lit(False))
 
 
-def author_names(g: Graph) -> DataFrame:
+def author_names(g: Graph, edges: DataFrame | None = None) -> DataFrame:
     """paper_id with the sorted distinct names of its authors, gathered before any join fans out."""
-    return g.authored.join(g.authors, g.authored.author_id == g.authors.id).groupBy("paper_id").agg(F.array_sort(F.collect_set("name")).alias("authors"))
+    e = g.authored if edges is None else edges
+    return e.join(g.authors, e.author_id == g.authors.id).groupBy("paper_id").agg(F.array_sort(F.collect_set("name")).alias("authors"))
 
 
-def enrich(g: Graph, papers: DataFrame, institution: bool = False) -> DataFrame:
-    """Papers with authors, venue and, with one row for each, institution; missing ones are null or empty."""
-    out = papers.select(*PAPER_COLS).withColumnRenamed("id", "paper_id").join(author_names(g), "paper_id", "left")
-    venue = g.published_in.join(g.venues, g.published_in.venue_id == g.venues.id).select("paper_id", F.col("name").alias("venue")).distinct()
+def enrich(g: Graph, papers: DataFrame, institution: bool = False, few: bool = False) -> DataFrame:
+    """Papers with authors, venue and, with one row for each, institution; missing ones are null or empty.
+
+    few: the papers are a small part of the graph, so that the relations are cut down to them before anything is gathered.
+    """
+    ids = papers.select(F.col("id").alias("paper_id"))
+    of = lambda edges: edges.join(ids, "paper_id", "left_semi") if few else edges
+    out = papers.select(*PAPER_COLS).withColumnRenamed("id", "paper_id").join(author_names(g, of(g.authored)), "paper_id", "left")
+    published = of(g.published_in)
+    venue = published.join(g.venues, published.venue_id == g.venues.id).select("paper_id", F.col("name").alias("venue")).distinct()
     out = out.join(venue, "paper_id", "left").withColumn("authors", F.coalesce("authors", F.array().cast("array<string>")))
     if institution:
-        inst = g.associated_with.join(g.institutions, g.associated_with.inst_id == g.institutions.id).select("paper_id", F.col("name").alias("institution")).distinct()
+        at = of(g.associated_with)
+        inst = at.join(g.institutions, at.inst_id == g.institutions.id).select("paper_id", F.col("name").alias("institution")).distinct()
         out = out.join(inst, "paper_id", "left")
     return out
 
 
+def most_cited(papers: DataFrame, k: int) -> DataFrame:
+    """The k papers that can have the first k rows: enriching a paper never drops it."""
+    return papers.orderBy(F.desc_nulls_first("cited_by_count"), "id").limit(k)
+
+
 def top(df: DataFrame, k: int | None, *more: str) -> DataFrame:
     """Most cited first, unknown counts before known ones, ties by id."""
     out = df.orderBy(F.desc_nulls_first("cited_by_count"), "paper_id", *[F.asc_nulls_first(c) for c in more])
@@ -79,20 +92,19 @@ def matching_papers(g: Graph, entities: dict, any_of: bool = True) -> DataFrame:
 
 
 def search_papers(g: Graph, entities: dict, k: int = 10) -> DataFrame:
-    return top(enrich(g, matching_papers(g, entities), institution=True), k, "venue", "institution")
+    best = most_cited(matching_papers(g, entities), k)
+    return top(enrich(g, best, institution=True, few=True), k, "venue", "institution")
 
 
 def search_citations(g: Graph, ids: Sequence[str], k: int = 10) -> DataFrame:
     """Both ends of every citation that touches one of the ids."""
     hit = g.cites.where(F.col("src_id").isin(list(ids)) | F.col("dst_id").isin(list(ids))) if ids else g.cites.limit(0)
     ends = hit.select(F.explode(F.array("src_id", "dst_id")).alias("id")).distinct()
-    return top(enrich(g, g.papers.join(ends, "id", "left_semi")), k, "venue")
+    return top(enrich(g, most_cited(g.papers.join(ends, "id", "left_semi"), k), few=True), k, "venue")
 
 
 def top_cited_papers(g: Graph, k: int = 10) -> DataFrame:
-    """Only the k papers that can win are enriched: every paper keeps at least one row."""
-    best = g.papers.orderBy(F.desc_nulls_first("cited_by_count"), "id").limit(k)
-    return top(enrich(g, best), k, "venue")
+    return top(enrich(g, most_cited(g.papers, k), few=True), k, "venue")
 
 
 def coauthor_network(g: Graph, names: Sequence[str], k: int = 10, titles: int = 5) -> DataFrame:
@@ -114,7 +126,7 @@ def author_venue_stats(g: Graph, names: Sequence[str], k: int = 10, titles: int
 
 def enrich_by_ids(g: Graph, ids: DataFrame) -> DataFrame:
     """ids: one column id."""
-    return top(enrich(g, g.papers.join(ids, "id", "left_semi")), None, "venue")
+    return top(enrich(g, g.papers.join(ids, "id", "left_semi"), few=True), None, "venue")
 
 
 def database_stats(g: Graph) -> DataFrame:

@@ -75,7 +75,7 @@ def hybrid(g: Graph, questions: DataFrame, k: int = 10, index: tuple[DataFrame,
     top = g.papers.orderBy(F.desc_nulls_first("cited_by_count"), "id").limit(k).select("id")
     pairs = pairs.unionByName(structured.where("template = 'top_cited_papers'").select("query_id").crossJoin(F.broadcast(top))).distinct()
     pairs = kept(pairs)
-    rows = pairs.join(G.enrich(g, g.papers.join(pairs.select("id").distinct(), "id", "left_semi")).withColumnRenamed("paper_id", "id"), "id").withColumnRenamed("id", "paper_id")
+    rows = pairs.join(G.enrich(g, g.papers.join(pairs.select("id").distinct(), "id", "left_semi"), few=True).withColumnRenamed("paper_id", "id"), "id").withColumnRenamed("id", "paper_id")
     scored = R.relevance(rows.join(asked.select("query_id", "entities"), "query_id")).withColumn("score", F.col("relevance"))
     found = kept(scored.select("query_id", "paper_id", "score", F.lit("graph").alias("origin")))
     vector = keyword_search(asked, weights, vocabulary, k).select("query_id", F.col("id").alias("paper_id"), F.col("similarity_score").alias("score"), F.lit("vector").alias("origin"))
