@@ -25,7 +25,12 @@ def min_max(score: str) -> Column:
 
 
 def relevance(results: DataFrame) -> DataFrame:
-    """results (query_id, paper_id, title, abstract, authors, venue, publication_date, cited_by_count, entities) with raw and relevance."""
+    """results (query_id, paper_id, title, abstract, authors, venue, publication_date, cited_by_count, entities) with raw and relevance.
+
+    A query's extremes come from aggregates that are joined back, not from windows, so that no task gathers a query's rows.
+    """
+    most_cited = results.groupBy("query_id").agg(F.max(F.coalesce("cited_by_count", F.lit(0))).alias("_most"))
+    results = results.join(most_cited, "query_id")
     e = F.col("entities")
     names = F.filter(F.transform(e["author_names"], lambda n: F.lower(F.trim(n))), lambda n: F.length(n) > 2)
     last = lambda s: F.try_element_at(F.split(s, r"\s+"), F.lit(-1))
@@ -43,7 +48,7 @@ def relevance(results: DataFrame) -> DataFrame:
     year, day = F.substring(empty("publication_date"), 1, 4), empty("publication_date")
     said, lo, hi = empty(e["year"]), empty(e["year_from"]), empty(e["year_to"])
     in_years = F.when((said != "") & (year == said), True).when((lo != "") & (hi != ""), (lo <= year) & (year < hi)).otherwise((lo != "") & (year >= lo))
-    cited, most = F.coalesce("cited_by_count", F.lit(0)), F.max(F.coalesce("cited_by_count", F.lit(0))).over(by_query())
+    cited, most = F.coalesce("cited_by_count", F.lit(0)), F.col("_most")
     raw = (
         F.when(F.exists(e["paper_ids"], lambda p: F.lower(p) == F.lower("paper_id")), 100.0).otherwise(0.0)
         + F.aggregate(F.transform(F.coalesce("authors", F.array().cast("array<string>")), author_points), F.lit(0.0), lambda acc, x: acc + x)
@@ -53,7 +58,11 @@ def relevance(results: DataFrame) -> DataFrame:
         + hits("abstract") * 2.0
         + F.lit(5.0) * (cited / F.when(most == 0, 1).otherwise(most))
     )
-    return results.withColumn("raw", raw).withColumn("relevance", min_max("raw"))
+    scored = results.withColumn("raw", raw).drop("_most")
+    edges = scored.groupBy("query_id").agg(F.min("raw").alias("_lo"), F.max("raw").alias("_hi"))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    scaled = F.when(hi > lo, (F.col("raw") - lo) / (hi - lo)).when(hi > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    return scored.join(edges, "query_id").withColumn("relevance", scaled).drop("_lo", "_hi")
 
 
 def combine_visual(vector: DataFrame, visual: DataFrame, legacy_distance: bool = False, weights: tuple[float, float] = (0.7, 0.3)) -> DataFrame:
