@@ -91,7 +91,7 @@ def tfidf_vocabulary(spark, sf_dir):
     return term_weights(spark, sf_dir)[1].select("term", F.round("idf", 6).alias("idf"))
 
 
-@query("tk_sparse", f"WITH {TFIDF} SELECT query_id, id, round(s, 6) AS similarity_score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank FROM sp) WHERE rank <= 10")
+@query("tk_sparse", f"WITH {TFIDF} SELECT query_id, id, round(round(s, 9), 6) AS similarity_score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank FROM sp) WHERE rank <= 10")
 def tk_sparse(spark, sf_dir):
     terms, vocabulary = term_weights(spark, sf_dir)
     asked = V.tfidf(V.terms_of(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), STOP), vocabulary)
