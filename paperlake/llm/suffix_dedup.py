@@ -11,8 +11,10 @@ corpus are found without one suffix array over it:
    up to ``length`` bytes; in it, a suffix's previous and next smaller positions are its candidate earlier matches, and
    the longer of their common prefixes is its longest previous factor. Positions whose factor reaches ``length`` and
    the matches that they point to are repeated.
-4. An anchor with more than ``CROWD`` distinct contexts would make an unbounded task. Its windows are hashed (128
-   bits) and counted by an aggregate instead, which is exact and combines before the shuffle.
+4. An anchor with more than ``CROWD`` distinct contexts would make an unbounded task. Its contexts are cut into blocks of
+   ``BLOCK`` windows, aligned at the anchor; the bytes that all windows of a block share are an anchor of their own, and
+   steps 1 to 3 run again on the blocks. What is still crowded then is hashed window by window (128 bits) and counted by
+   an aggregate, which is exact and combines before the shuffle.
 
 Repeated windows go back to every occurrence of their context and are united per document. ``keep="none"`` removes
 every repeated byte, ``keep="first"`` leaves the first copy (by id, then position) of each repeated string.
@@ -35,6 +37,7 @@ from .common import cut, drop_cut, text_of
 from .membership import split_by_key
 
 LENGTH, GRAM, CROWD, JOINED, SEGMENT = 400, 64, 256, 1 << 20, 1 << 23
+BLOCK = 32
 _RNG = np.random.default_rng(20240229)
 BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -228,7 +231,7 @@ def match_contexts(texts: DataFrame, length: int) -> DataFrame:
 
 
 def count_windows(texts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with many distinct contexts: windows hashed twice and counted by an aggregate."""
+    """The same for crowds: windows hashed twice and counted by an aggregate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -260,22 +263,89 @@ def count_windows(texts: DataFrame, length: int) -> DataFrame:
     return hit.mapInArrow(pack, "anchor long, ctx long, seen binary, later binary")
 
 
+def split_crowds(texts: DataFrame, length: int) -> DataFrame:
+    """The same for crowded anchors: blocks of windows under anchors of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for b in batches:
+            for i in range(len(b)):
+                data, anchor = np.frombuffer(b.column("piece")[i].as_py(), np.uint8), b.column("anchor")[i].as_py()
+                n, h = len(data) - length + 1, Hashes(data, powers)
+                at = n - 1 + int(np.argmax(h.all(GRAM)[n - 1 :].view(np.int64) == anchor))
+                block = (at - np.arange(n)) // BLOCK
+                starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+                ends, low = np.append(starts[1:], n), at - block[starts] * BLOCK
+                core = h.of(low, low - BLOCK + 1 + length) ^ mixed(block[starts].astype(np.uint64) ^ np.uint64(anchor % (1 << 64)))
+                whole = h.of(starts, ends - 1 + length) ^ mixed((at - starts).astype(np.uint64))
+                up = [pa.repeat(b.column(c)[i], len(starts)) for c in ("anchor", "ctx", "k1", "k2")]
+                own = [pa.array((starts + b.column("lo")[i].as_py()).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(mixed(core).view(np.int64)), pa.array(whole.view(np.int64)), pa.array(starts.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*up, *own], names=["up", "over", "k1", "k2", "lo", "n", "anchor", "ctx", "start"])
+
+    once = cut(texts.dropDuplicates(["anchor", "ctx"]))
+    blocks = cut(once.mapInArrow(run, "up long, over long, k1 long, k2 long, lo int, n int, anchor long, ctx long, start int"))
+    here = shared_only(blocks)
+    origin = once.select(F.col("anchor").alias("up"), F.col("ctx").alias("over"), F.col("piece").alias("all"))
+
+    def pieces(wanted: DataFrame) -> DataFrame:
+        from_ = here.select("anchor", "ctx", "k1", "k2", "lo", "up", "over", "start")
+        found = wanted.join(from_, ["anchor", "ctx", "k1", "k2", "lo"]).join(origin, ["up", "over"])
+        return found.select(*wanted.columns, F.substring("all", F.col("start") + 1, F.col("n") + (length - 1)).alias("piece"))
+
+    known = resolve(here, pieces, length, deep=True)
+    first = (F.struct("k1", "k2", "lo") == F.col("rep")).alias("first")
+    hit = here.join(known, ["anchor", "ctx"]).groupBy("up", "over").agg(F.collect_list(F.struct("start", "n", "copies", first, "seen", "later")).alias("hits"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides: tuple[list, list] = ([], [])
+            for hits in b.column("hits").to_pylist():
+                flags = np.zeros((2, max(x["start"] + x["n"] for x in hits)), bool)
+                for x in hits:
+                    for side in (0, 1):
+                        if x["copies"] > 1 and not (side and x["first"]):
+                            flags[side, x["start"] : x["start"] + x["n"]] = True
+                        else:
+                            for lo, hi in np.frombuffer(x["later" if side else "seen"] or b"", np.int32).reshape(-1, 2):
+                                flags[side, x["start"] + lo : x["start"] + hi] = True
+                for side in (0, 1):
+                    sides[side].append(runs(flags[side]).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("up"), b.column("over"), *(pa.array(x, pa.binary()) for x in sides)], names=["anchor", "ctx", "seen", "later"])
+
+    return hit.mapInArrow(pack, "anchor long, ctx long, seen binary, later binary")
+
+
+def shared_only(found: DataFrame) -> DataFrame:
+    """Occurrences of anchors that occur more than once, with ``single``: all of them have one context."""
+    stats = found.groupBy("anchor").agg(F.count("*").alias("all"), F.min("ctx").alias("lo_ctx"), F.max("ctx").alias("hi_ctx")).where("all > 1")
+    # Written first, so that the join reads two plain exchanges and a hot anchor can be split.
+    return cut(found.join(cut(stats.select("anchor", (F.col("lo_ctx") == F.col("hi_ctx")).alias("single"))), "anchor"))
+
+
+def resolve(here: DataFrame, pieces, length: int, deep: bool = False) -> DataFrame:
+    """(anchor, ctx, copies, rep, seen, later) of the contexts with repeated windows; pieces adds the bytes of given occurrences."""
+    first = F.struct(F.min(F.struct("k1", "k2", "lo")).alias("at"), F.min("n").alias("n"), F.count("*").alias("copies"))
+    merged = cut(here.groupBy("anchor", "ctx", "single").agg(first.alias("m")).select("anchor", "ctx", "single", "m.at.k1", "m.at.k2", "m.at.lo", "m.n", "m.copies"))
+    several = merged.where("not single")
+    crowd = several.groupBy("anchor").agg(F.count("*").alias("contexts")).select("anchor", (F.col("contexts") > CROWD).alias("crowded"))
+    texts = cut(pieces(several.join(crowd, "anchor")))
+    matched = match_contexts(texts.where("not crowded"), length)
+    crowded = texts.where("crowded")
+    if not crowded.isEmpty():
+        matched = matched.unionByName(count_windows(crowded, length) if deep else split_crowds(crowded, length))
+    known = merged.select("anchor", "ctx", "copies", F.struct("k1", "k2", "lo").alias("rep")).join(matched, ["anchor", "ctx"], "left")
+    return cut(known.where("copies > 1 or seen is not null"))
+
+
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, keep: str = "first", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, kept (the text's remaining bytes), spans [(start, end)] removed, n_bytes, n_removed, n_spans."""
     if keep not in ("first", "none"):
         raise ValueError(f"keep is first or none, not {keep}")
     keyed = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).select("id", F.coalesce(F.col("id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64("t").alias("k2"), F.encode("t", "UTF-8").alias("bytes"))
     found = cut(occurrences(keyed.where(F.length("bytes") >= length), length))
-    shared = found.groupBy("anchor").agg(F.count("*").alias("all"), F.min("ctx").alias("lo_ctx"), F.max("ctx").alias("hi_ctx")).where("all > 1").select("anchor", (F.col("lo_ctx") == F.col("hi_ctx")).alias("single"))
-    here = cut(found.join(shared, "anchor"))
+    here = shared_only(found)
     drop_cut(found)
-    first = F.struct(F.min(F.struct("k1", "k2", "lo")).alias("at"), F.min("n").alias("n"), F.count("*").alias("copies"))
-    merged = cut(here.groupBy("anchor", "ctx", "single").agg(first.alias("m")).select("anchor", "ctx", "single", "m.at.k1", "m.at.k2", "m.at.lo", "m.n", "m.copies"))
-    several = merged.where("not single")
-    crowd = several.groupBy("anchor").agg(F.count("*").alias("contexts")).select("anchor", (F.col("contexts") > CROWD).alias("crowded"))
-    texts = cut(texts_of(several.join(crowd, "anchor"), keyed, length))
-    matched = match_contexts(texts.where("not crowded"), length).unionByName(count_windows(texts.where("crowded"), length))
-    known = merged.select("anchor", "ctx", "copies", F.struct("k1", "k2", "lo").alias("rep")).join(matched, ["anchor", "ctx"], "left").where("copies > 1 or seen is not null")
+    known = resolve(here, lambda wanted: texts_of(wanted, keyed, length), length)
     copy = F.struct("k1", "k2", "lo") != F.col("rep")
     # The runs of an occurrence's repeated windows; null stands for all of them.
     chosen = F.when(F.col("copies") > 1, F.lit(None)).otherwise(F.col("seen")) if keep == "none" else F.when(copy, F.lit(None)).otherwise(F.coalesce("later", F.lit(b"")))
