@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,9 +31,18 @@ def scratch(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
         shared = tempfile.gettempdir() + "/paperlake-scratch-" + spark.sparkContext.applicationId
+        worker_memory(shared, lambda: atexit.register(shutil.rmtree, shared, True))
     return shared.rstrip("/")
 
 
+def worker_memory(name: str, make):
+    """An object that a Python process keeps, a worker for all its tasks; functions travel by value, so their globals do not last."""
+    held = sys.modules.setdefault("_paperlake_worker", types.ModuleType("_paperlake_worker")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df into the shared folder and read it back: lineage ends here and a lost executor costs nothing."""
     spark = df.sparkSession
@@ -49,18 +62,48 @@ def drop_cut(df: DataFrame) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+#: Edges that one task holds while it makes their spanning forest.
+FOREST_EDGES = 500_000
+
+
+def forest(batches):
+    """The edges of some batches as a spanning forest of stars: (hi, lo) of each node and the smallest one it reaches."""
+    import numpy as np
+    import pyarrow as pa
+
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        root = x
+        while (y := up.get(root, root)) != root:
+            root = y
+        while x != root:
+            up[x], x = root, up.get(x, x)
+        return root
+
+    for b in batches:
+        for a, c in zip(b.column("hi").to_pylist(), b.column("lo").to_pylist(), strict=True):
+            a, c = top(a), top(c)
+            if a != c:
+                up[max(a, c)] = min(a, c)
+    nodes = np.fromiter(up, np.int64, len(up))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([top(x) for x in nodes.tolist()], pa.int64())], names=["hi", "lo"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) long pairs: (node, root) with root the smallest node reachable, for nodes other than the root.
 
-    Each round hooks every node to its smallest smaller neighbour, links its other smaller neighbours to that
-    one and jumps one pointer. Aggregates combine before the shuffle, so a node with very many links costs no
-    more than others; rounds grow with the logarithm of the longest path. Self-loops and nulls are ignored.
+    Tasks of at most FOREST_EDGES edges first make spanning forests of their own edges; if one task was enough, that is
+    the answer. Then each round hooks every node to its smallest smaller neighbour, links its other smaller
+    neighbours to that one and jumps one pointer. Aggregates combine before the shuffle, so a node with very many links
+    costs no more than others; rounds grow with the logarithm of the longest path. Self-loops and nulls are ignored.
     """
-    links = cut(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-        .distinct()
-    )
+    given = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")))
+    tasks = -(-given.count() // FOREST_EDGES)
+    links = cut(given.repartition(max(1, tasks)).mapInArrow(forest, "hi long, lo long"))
+    drop_cut(given)
+    if tasks <= 1:
+        return links.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     for _ in range(rounds):
         parent = links.groupBy("hi").agg(F.min("lo").alias("up"), F.count("*").alias("n"))
         up = cut(parent)

@@ -7,11 +7,12 @@ stops as soon as no later round can lower a place. Permutations are Fisher-Yates
 that are reached are computed.
 
 Documents with equal sets are one from here on. ``BANDS`` bands of ``ROWS`` places give candidates: a pair at the
-threshold of 0.8 shares a band with probability 0.99999. Each bucket links its members to its smallest one only, and
-every candidate pair is verified on the full sets of the words themselves. Buckets whose members are then still in
-different components give the remaining pairs: each member outside the bucket's main component with those of other
-components, pruned by set sizes and by one-bit sketches (pairs below an estimate five deviations under the threshold);
-so no pair inside a component is ever listed and no link between components is lost.
+threshold of 0.8 shares a band with probability 0.99997. Each bucket links its members to its centre only, the member
+with most collisions, and every candidate pair is verified on the full sets of the words themselves. Buckets whose
+members are then in different components give the remaining pairs: members outside the bucket's main component meet all
+others of different components, first their nearest ones and at last all, pruned by set sizes and by one-bit sketches
+(pairs ``DEVIATIONS`` standard deviations under the threshold). So no pair inside a component is ever listed, no link
+between components is lost, and large buckets meet in blocks of bounded size.
 
 Defined cases: null, empty or blank text has the empty set, size 0, and links with nothing; rows without an id have a
 null component and are kept only by themselves; rows that repeat an id are one node; equal texts are linked; an
@@ -29,11 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, text_of
+from .membership import split_by_key
 
-BANDS, ROWS = 30, 5
+BANDS, ROWS = 45, 7
 PLACES = BANDS * ROWS
-#: Bits that may differ among PLACES one-bit samples: at similarity s a bit differs with probability (1 - s) / 2.
-DEVIATIONS = 5
+#: At similarity s a one-bit sample of a place differs with probability (1 - s) / 2.
+DEVIATIONS = 4
+#: Members of a bucket that meet in one task, and how many candidates a member gets in each round.
+BLOCK, ROUNDS = 4096, (4, None)
 MIX1, MIX2, GOLD = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
 
@@ -106,9 +110,9 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
 
 
 def sketches(sig: np.ndarray) -> np.ndarray:
-    """One bit of each place, in three words."""
+    """One bit of each place, in words of 64."""
     bits = (mixed(sig) & np.uint64(1)).astype(np.uint8)
-    bits = np.pad(bits, ((0, 0), (0, 192 - sig.shape[1])))
+    bits = np.pad(bits, ((0, 0), (0, -sig.shape[1] % 64)))
     return np.packbits(bits, axis=1).view(np.int64)
 
 
@@ -164,10 +168,74 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
             hit = pa.array(hit, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(hit), b.filter(hit)], names=["a", "b"])
 
-    text = lambda s: docs.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    needed = cut(split_by_key(docs, wanted, ["id"])[0].join(wanted, "id"))
+    text = lambda s: needed.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}"))
     return pairs.select("a", "b").join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def most_differing(percent: int) -> int:
+    """How many bits of two sketches may differ for a pair to be worth verifying."""
+    p = (1 - percent / 100) / 2
+    return int(PLACES * p + DEVIATIONS * (PLACES * p * (1 - p)) ** 0.5)
+
+
+def mixed_buckets(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, blocks, minor, id, root, n, sketch) of buckets whose members are in several components; minor: outside the largest of them."""
+    placed = keyed.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "size", "id", F.coalesce("root", "id").alias("root"), "n", "sketch")
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("members"))
+    main = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("members", "root")).alias("main")).where("parts > 1")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    return placed.join(cut(main), "key").select("key", blocks.alias("blocks"), (F.col("root") != F.col("main")).alias("minor"), "id", "root", "n", "sketch")
+
+
+def cross_pairs(open_: DataFrame, percent: int, nearest: int | None) -> DataFrame:
+    """(a, b) of likely pairs of minor members with members of other components, their nearest ones or all."""
+    most = most_differing(percent)
+    cols = ["key", "block", "minor", "id", "root", "n", "sketch"]
+    others = open_.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select(*cols)
+    minors = open_.where("minor").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*cols).withColumn("minor", F.lit(None).cast("boolean"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            held.clear()
+            ask = t.column("minor").is_null().to_numpy()
+            ids, roots, n = (t.column(c).to_numpy() for c in ("id", "root", "n"))
+            bits = np.stack(t.column("sketch").to_numpy())
+            y = np.flatnonzero(~ask)
+            pairs = []
+            for x in np.flatnonzero(ask):
+                d = np.bitwise_count((bits[y] ^ bits[x]).view(np.uint64)).sum(axis=1)
+                fit = (d <= most) & (roots[y] != roots[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))
+                at, d = y[fit], d[fit]
+                if nearest is not None and len(at) > nearest:
+                    at = at[np.argsort(d, kind="stable")[:nearest]]
+                pairs.append(np.stack([np.minimum(ids[at], ids[x]), np.maximum(ids[at], ids[x])]))
+            both = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+            both = np.unique(both, axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+        last = None
+        for b in batches:
+            if not len(b):
+                continue
+            key = np.stack([b.column("key").to_numpy(), b.column("block").to_numpy().astype(np.int64)])
+            starts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [len(b)]])
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                if held and tuple(key[:, lo]) != last:
+                    yield flush()
+                last = tuple(key[:, lo])
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield flush()
+
+    met = others.unionByName(minors).repartition("key", "block").sortWithinPartitions("key", "block")
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
 def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     signed = cut(signatures(docs, k, id_col, text_col))
@@ -176,34 +244,24 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     # Every document belongs to the smallest id with its set; an id with several texts links what they belong to.
     member = cut(sets.select("id", "same").join(heads, "same").select("id", "rep"))
     reps = sets.join(heads.select(F.col("rep").alias("id"), "same"), ["same", "id"]).dropDuplicates(["same"]).select("id", "n", "bands", "sketch")
-    keyed = cut(reps.select("id", F.explode("bands").alias("key")).join(
-        reps.select(F.explode("bands").alias("key")).groupBy("key").count().where("count > 1").select("key"), "key"
-    ))
-    light = cut(reps.select("id", "n", "sketch"))
-    first = keyed.groupBy("key").agg(F.min("id").alias("a"))
-    stars = keyed.join(first, "key").where("a < id").select("a", F.col("id").alias("b")).distinct()
-    info = lambda s: light.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-    far = int(PLACES * (1 - percent / 100) / 2 + DEVIATIONS * (PLACES * (1 - percent / 100) / 2 * (1 + percent / 100) / 2) ** 0.5)
-    differing = sum((F.bit_count(F.get("sketch_a", F.lit(w)).bitwiseXOR(F.get("sketch_b", F.lit(w)))) for w in range(1, 3)), F.bit_count(F.get("sketch_a", F.lit(0)).bitwiseXOR(F.get("sketch_b", F.lit(0)))))
-    likely = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differing <= far)
-    tried = cut(stars.join(info("b"), "b").join(info("a"), "a").where(likely).select("a", "b"))
-    wanted = tried.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    common = reps.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    keyed = cut(reps.select("id", F.explode("bands").alias("key")).join(common, "key"))
+    degree = keyed.groupBy("id").agg(F.sum("size").alias("degree"))
+    keyed = cut(keyed.join(reps.select("id", "n", "sketch").join(degree, "id"), "id").select("key", "size", "id", "n", "sketch", "degree"))
+    centre = cut(keyed.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("back"), "n", "sketch")).alias("c")))
+    differing = F.aggregate(F.zip_with("sketch", F.col("c.sketch"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    likely = (100 * F.least("n", F.col("c.n")) >= percent * F.greatest("n", F.col("c.n"))) & (differing <= most_differing(percent))
+    stars = keyed.join(centre, "key").where((F.col("id") != -F.col("c.back")) & likely)
+    tried = cut(stars.select(F.least("id", -F.col("c.back")).alias("a"), F.greatest("id", -F.col("c.back")).alias("b")).distinct())
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    links = cut(verified(tried, texts.join(wanted, "id", "left_semi"), k, percent))
-    roots = components(links)
-    placed = keyed.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    mixed_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = cut(placed.join(mixed_keys, "key"))
-    if not open_.isEmpty():
-        main = open_.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-        rich = open_.join(light, "id")
-        minor = rich.join(main, "key").where("root <> main").select("key", F.col("id").alias("x"), F.col("root").alias("root_x"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-        other = rich.select("key", F.col("id").alias("y"), F.col("root").alias("root_y"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-        cross = minor.join(other, "key").where((F.col("root_x") != F.col("root_y")) & likely).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        rest = cut(cross.join(tried, ["a", "b"], "left_anti"))
-        if not rest.isEmpty():
-            wanted = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            links = links.unionByName(verified(rest, texts.join(wanted, "id", "left_semi"), k, percent))
+    links = cut(verified(tried, texts, k, percent))
+    for nearest in ROUNDS:
+        open_ = cut(mixed_buckets(keyed, components(links)))
+        if open_.isEmpty():
+            break
+        new = cut(cross_pairs(open_, percent, nearest).join(tried, ["a", "b"], "left_anti"))
+        tried = cut(tried.unionByName(new))
+        links = cut(links.unionByName(verified(new, texts, k, percent)))
     roots = components(links.unionByName(member.select(F.col("rep").alias("a"), F.col("id").alias("b"))))
     return signed.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
         F.col("id").alias(id_col),
@@ -211,3 +269,10 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
         F.coalesce("root", "id").alias("component_id"),
         F.col("id").eqNullSafe(F.coalesce("root", "id")).alias("kept"),
     )
+
+
+def keep_representatives(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the members of near-duplicate groups other than the smallest id; rows without an id stay."""
+    groups = minhash_dedup(docs.select(id_col, text_col), k, percent, id_col, text_col)
+    gone = cut(groups.where(~F.col("kept")).select(id_col).distinct())
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
