@@ -190,9 +190,12 @@ def mixed_buckets(keyed: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def cross_pairs(open_: DataFrame, percent: int, nearest: int | None) -> DataFrame:
-    """(a, b) of likely pairs of minor members with members of other components, their nearest ones or all."""
+    """(a, b) of likely pairs of minor members with members of other components, their nearest ones or all.
+
+    A pair that shares several buckets comes from the first of its bands that agree.
+    """
     most = most_differing(percent)
-    cols = ["key", "block", "minor", "id", "root", "n", "sketch"]
+    cols = ["key", "block", "minor", "id", "root", "n", "sketch", "bands"]
     others = open_.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select(*cols)
     minors = open_.where("minor").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*cols).withColumn("minor", F.lit(None).cast("boolean"))
 
@@ -204,13 +207,16 @@ def cross_pairs(open_: DataFrame, percent: int, nearest: int | None) -> DataFram
             held.clear()
             ask = t.column("minor").is_null().to_numpy()
             ids, roots, n = (t.column(c).to_numpy() for c in ("id", "root", "n"))
-            bits = np.stack(t.column("sketch").to_numpy())
+            bits, bands = (np.stack(t.column(c).to_numpy()) for c in ("sketch", "bands"))
+            key = t.column("key")[0].as_py()
             y = np.flatnonzero(~ask)
             pairs = []
             for x in np.flatnonzero(ask):
                 d = np.bitwise_count((bits[y] ^ bits[x]).view(np.uint64)).sum(axis=1)
                 fit = (d <= most) & (roots[y] != roots[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))
                 at, d = y[fit], d[fit]
+                first = bands[x][(bands[at] == bands[x]).argmax(axis=1)] == key
+                at, d = at[first], d[first]
                 if nearest is not None and len(at) > nearest:
                     at = at[np.argsort(d, kind="stable")[:nearest]]
                 pairs.append(np.stack([np.minimum(ids[at], ids[x]), np.maximum(ids[at], ids[x])]))
@@ -256,7 +262,7 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     links = cut(verified(tried, texts, k, percent))
     for nearest in ROUNDS:
-        open_ = cut(mixed_buckets(keyed, components(links)))
+        open_ = cut(mixed_buckets(keyed, components(links)).join(reps.select("id", "bands"), "id"))
         if open_.isEmpty():
             break
         new = cut(cross_pairs(open_, percent, nearest).join(tried, ["a", "b"], "left_anti"))
