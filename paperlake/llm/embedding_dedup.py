@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut
@@ -128,11 +128,21 @@ class Meeting:
             self.forest.join(x, y)
 
 
-def _intervals(sorted_rows: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
-    """One row per interval of a partition's sorted vectors, all of one length."""
+def _intervals(placed: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
+    """One row per interval of INTERVAL neighbours in the order of dim, cells and id; placed: id, copies, dim, cells, unit.
+
+    Places in the order come from the range partitions' counts (a row each), so intervals are full however many
+    partitions there are. Within an interval vectors stay in order of their cells.
+    """
+    ordered = placed.repartitionByRange("dim", "cells", "id").sortWithinPartitions("dim", "cells", "id").withColumn("m", F.monotonically_increasing_id())
+    ordered = cut(ordered.select("id", "copies", "dim", "cells", "unit", F.shiftright("m", 33).cast("int").alias("part"), F.col("m").bitwiseAND((1 << 33) - 1).alias("nth")))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ordered.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    dealt = ordered.join(starts, "part").withColumn("interval", F.floor((F.col("start") + F.col("nth")) / INTERVAL))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
+        last = None
 
         def flush() -> pa.RecordBatch:
             x = np.stack([v for _, _, v in held])
@@ -144,15 +154,17 @@ def _intervals(sorted_rows: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame
             return pa.RecordBatch.from_pydict({"name": [int(ids[0])], "dim": [x.shape[1]], "lo": [lo], "hi": [hi], "ids": [ids.tobytes()], "copies": [copies.tobytes()], "vectors": [x.tobytes()]}, schema=kinds)
 
         for b in batches:
-            for i, n, v in zip(*(b.column(c).to_pylist() for c in ("id", "copies", "unit")), strict=True):
+            for i, n, v, k in zip(*(b.column(c).to_pylist() for c in ("id", "copies", "unit", "interval")), strict=True):
                 v = np.frombuffer(v, np.float64)
-                if held and (len(held) == INTERVAL or len(held[0][2]) != len(v)):
+                if held and (k != last or len(held[0][2]) != len(v)):
                     yield flush()
+                last = k
                 held.append((i, n, v))
         if held:
             yield flush()
 
-    return sorted_rows.select("id", "copies", "unit").mapInArrow(run, "name long, dim int, lo array<double>, hi array<double>, ids binary, copies binary, vectors binary")
+    rows = dealt.repartition("interval").sortWithinPartitions("interval", "dim", "cells", "id").select("id", "copies", "unit", "interval")
+    return rows.mapInArrow(run, "name long, dim int, lo array<double>, hi array<double>, ids binary, copies binary, vectors binary")
 
 
 def embedding_dedup(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -166,16 +178,17 @@ def embedding_dedup(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     axes, eps = principal(sample), float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("id", pa.int64()), ("copies", pa.int64()), ("dim", pa.int32()), ("cells", pa.list_(pa.int32())), ("unit", pa.binary())])
         for b in batches:
-            out: dict = {"id": [], "copies": [], "dim": [], "cells": [], "unit": []}
-            for i, n, v in zip(*(b.column(c).to_pylist() for c in ("id", "copies", "v")), strict=True):
-                u = unit(np.array([v]))
-                at = (u @ axes[len(v)])[0][:CELL_DIMS] if len(v) in axes else [0.0]
-                for k, x in (("id", i), ("copies", n), ("dim", len(v)), ("cells", np.floor(np.asarray(at) / eps).astype(int).tolist()), ("unit", u.tobytes())):
-                    out[k].append(x)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("id", pa.int64()), ("copies", pa.int64()), ("dim", pa.int32()), ("cells", pa.list_(pa.int32())), ("unit", pa.binary())]))
-
-    placed = distinct.mapInArrow(place, "id long, copies long, dim int, cells array<int>, unit binary").repartitionByRange("dim", "cells", "id").sortWithinPartitions("dim", "cells", "id")
+            dims = [len(v) for v in b.column("v")]
+            for dim in sorted(set(dims)):
+                at = np.flatnonzero(np.array(dims) == dim)
+                part = b.take(pa.array(at))
+                u = unit(np.array(part.column("v").to_pylist(), np.float64))
+                cells = np.floor((u @ axes[dim])[:, :CELL_DIMS] / eps).astype(int).tolist() if dim in axes else [[0]] * len(at)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copies"), pa.array([dim] * len(at), pa.int32()), pa.array(cells, kinds.field("cells").type), pa.array([x.tobytes() for x in u], pa.binary())], schema=kinds)
+
+    placed = distinct.mapInArrow(place, "id long, copies long, dim int, cells array<int>, unit binary")
     intervals = cut(_intervals(placed, axes))
     # Boxes that come within epsilon share a first cell once one of them is widened by a cell on each side.
     cell = lambda x: F.floor(x[0] / F.lit(eps))
