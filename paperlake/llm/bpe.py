@@ -23,15 +23,16 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from itertools import chain
+from zlib import crc32
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, worker_memory
 
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 #: Characters a batch of results may hold before it is sent on.
 BATCH_CHARS = 1 << 21
 
@@ -134,27 +135,28 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", carry: list
     added = ["ids", *["decoded"] * decoded]
     kept = [c for c in (docs.columns if carry is None else carry) if c not in added]
     row = F.struct(*[F.col(f"`{c}`") for c in kept] or [F.lit(0).alias("none")]).alias("row")
-    given = docs.select(row, text_of(f"`{text_col}`").alias("text"))
+    source = docs.select(row, text_of(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(shared.value)
+        text = shared.value
+        bpe = worker_memory(f"bpe {crc32(text.encode())} {len(text)}", lambda: Bpe(text))
         for b in batches:
             at, texts = 0, b.column("text")
             while at < len(b):
                 start, chars, flat, ends, back = at, 0, array("i"), array("i", [0]), []
                 while at < len(b) and chars < BATCH_CHARS:
-                    text = texts[at].as_py()
-                    ids = bpe.encode(text)
+                    given = texts[at].as_py()
+                    ids = bpe.encode(given)
                     flat.extend(ids)
                     ends.append(len(flat))
                     if decoded:
                         back.append(bpe.decode(ids))
-                    chars += len(text) + 1
+                    chars += len(given) + 1
                     at += 1
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
                 cols = [b.column("row").slice(start, at - start), lists, *[pa.array(back, pa.string())] * decoded]
                 yield pa.RecordBatch.from_arrays(cols, names=["row", *added])
 
-    schema = f"row {given.schema['row'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decoded
-    done = given.mapInArrow(run, schema)
+    schema = f"row {source.schema['row'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decoded
+    done = source.mapInArrow(run, schema)
     return done.select(*[F.col("row")[c].alias(c) for c in kept], *added)
