@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import query_text as Q
@@ -44,6 +44,41 @@ def graph_candidates(g: Graph, asked: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def citation_ends(g: Graph, asked: DataFrame) -> DataFrame:
+    """(query_id, id): the papers at both ends of every citation that touches an id of each question (query_id, entities)."""
+    wanted = asked.select("query_id", F.explode("entities.paper_ids").alias("wanted")).distinct()
+    hits = [g.cites.join(wanted, F.col(end) == F.col("wanted")).select("query_id", F.explode(F.array("src_id", "dst_id")).alias("id")) for end in ("src_id", "dst_id")]
+    return hits[0].unionByName(hits[1]).distinct().join(g.papers.select("id"), "id", "left_semi").select("query_id", "id")
+
+
+def named_authors(g: Graph, asked: DataFrame) -> DataFrame:
+    """(query_id, paper_id, author_id, author): the papers of the authors whose names hold a name of each question."""
+    names = asked.select("query_id", F.explode("entities.author_names").alias("wanted"))
+    who = names.join(g.authors, F.contains(F.lower("name"), F.lower("wanted"))).select("query_id", F.col("id").alias("author_id"), F.col("name").alias("author")).distinct()
+    return who.join(g.authored, "author_id").select("query_id", "paper_id", "author_id", "author")
+
+
+def counted(rows: DataFrame, other: str, count: str, titles: int, k: int) -> DataFrame:
+    """(query_id, rank, author, other, count, sample_titles): the k pairs of each question with most papers, ties by name."""
+    out = rows.groupBy("query_id", "author", other).agg(F.count("*").alias(count), F.slice(F.array_sort(F.collect_set("title")), 1, titles).alias("sample_titles"))
+    w = Window.partitionBy("query_id").orderBy(F.desc(count), "author", other)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def coauthors(g: Graph, asked: DataFrame, k: int, titles: int = 5) -> DataFrame:
+    """``graph.coauthor_network`` for each question (query_id, entities)."""
+    others = g.authored.join(g.authors, g.authored.author_id == g.authors.id).select("paper_id", F.col("author_id").alias("other_id"), F.col("name").alias("coauthor"))
+    pairs = named_authors(g, asked).join(others, "paper_id").where("author_id <> other_id").join(g.papers.select(F.col("id").alias("paper_id"), "title"), "paper_id")
+    return counted(pairs, "coauthor", "shared_papers", titles, k)
+
+
+def author_venues(g: Graph, asked: DataFrame, k: int, titles: int = 3) -> DataFrame:
+    """``graph.author_venue_stats`` for each question (query_id, entities)."""
+    where = g.published_in.join(g.venues, g.published_in.venue_id == g.venues.id).select("paper_id", F.col("name").alias("venue"))
+    rows = named_authors(g, asked).join(where, "paper_id").join(g.papers.select(F.col("id").alias("paper_id"), "title"), "paper_id")
+    return counted(rows, "venue", "paper_count", titles, k)
+
+
 def text_index(g: Graph) -> tuple[DataFrame, DataFrame]:
     """(term weights (id, term, w), vocabulary) of the papers' titles and abstracts."""
     texts = g.papers.select("id", F.concat_ws(" ", "title", "abstract").alias("text"))
@@ -62,26 +97,32 @@ def keyword_search(asked: DataFrame, index: DataFrame, vocabulary: DataFrame, k:
 
 
 def hybrid(g: Graph, questions: DataFrame, k: int = 10, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """(query_id, rank, paper_id, ..., score, strategy): the ranked papers of each question that passes the guardrails.
+    """(query_id, rank, paper_id, ..., score, strategy): the ranked rows of each question that passes the guardrails.
 
-    graph_only questions take the papers of their entities by relevance and fall back to the vector search if there are
-    none; vector_first questions take the vector search's papers. Requested ids come first.
+    graph_only questions run their template: both ends of the citations of the requested ids, the co-authors or the venues
+    of the named authors, or the papers of any entity, with the most cited ones if those are asked for. Papers are ranked
+    by relevance; co-authors and venues have no paper_id and score and are ranked by their counts. Questions without a
+    row fall back to the vector search; vector_first questions take the vector search's papers. Requested ids come first.
     """
     asked = kept(Q.analyzed(questions).where("status = 'ok'").select("query_id", "clean", "entities", "template", "strategy"))
     weights, vocabulary = index or text_index(g)
     structured = asked.where("strategy = 'graph_only'")
-    pairs = graph_candidates(g, structured)
+    of = lambda template: structured.where(F.col("template") == template)
+    pairs = graph_candidates(g, structured.where("template in ('search_papers', 'top_cited_papers')")).unionByName(citation_ends(g, of("search_citations")))
     # The most cited papers answer the question for them, which names nothing to match.
     top = g.papers.orderBy(F.desc_nulls_first("cited_by_count"), "id").limit(k).select("id")
-    pairs = pairs.unionByName(structured.where("template = 'top_cited_papers'").select("query_id").crossJoin(F.broadcast(top))).distinct()
+    pairs = pairs.unionByName(of("top_cited_papers").select("query_id").crossJoin(F.broadcast(top))).distinct()
     pairs = kept(pairs)
     rows = pairs.join(G.enrich(g, g.papers.join(pairs.select("id").distinct(), "id", "left_semi"), few=True).withColumnRenamed("paper_id", "id"), "id").withColumnRenamed("id", "paper_id")
     scored = R.relevance(rows.join(asked.select("query_id", "entities"), "query_id")).withColumn("score", F.col("relevance"))
     found = kept(scored.select("query_id", "paper_id", "score", F.lit("graph").alias("origin")))
     vector = keyword_search(asked, weights, vocabulary, k).select("query_id", F.col("id").alias("paper_id"), F.col("similarity_score").alias("score"), F.lit("vector").alias("origin"))
+    stats = kept(coauthors(g, of("coauthor_network"), k).unionByName(author_venues(g, of("author_venue_stats"), k), allowMissingColumns=True).withColumn("origin", F.lit("graph")))
     # A question without a graph result is answered by the vector search.
-    both = found.unionByName(vector.join(found.select("query_id").distinct(), "query_id", "left_anti"))
+    answered = found.select("query_id").unionByName(stats.select("query_id")).distinct()
+    both = found.unionByName(vector.join(answered, "query_id", "left_anti"))
     wanted = asked.select("query_id", F.explode("entities.paper_ids").alias("paper_id")).distinct().withColumn("asked", F.lit(True))
     both = R.boost(both.join(wanted, ["query_id", "paper_id"], "left"), F.coalesce("asked", F.lit(False)), "score", 1000.0)
     best = V.best(both.select("query_id", F.col("paper_id").alias("id"), "score", "origin"), k, score="score").withColumnRenamed("id", "paper_id")
+    best = best.unionByName(stats, allowMissingColumns=True)
     return best.join(asked.select("query_id", "template", "strategy"), "query_id")

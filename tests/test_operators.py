@@ -2,6 +2,7 @@
 
 import json
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -249,6 +250,43 @@ def test_hybrid_search(spark, sf_dir):
     assert by[2][0].origin == "vector" and not by[4] and by[5][0].strategy == "graph_only"
 
 
+def test_hybrid_search_runs_the_template(spark, sf_dir):
+    """One question of each template against brute force over the collected graph."""
+    g = star_graph(spark, sf_dir)
+    g = replace(g, authors=g.authors.withColumn("name", F.translate("name", "#", " ")))
+    cites = [tuple(r) for r in g.cites.collect()]
+    middle = min({a for a, _ in cites} & {b for _, b in cites})
+    asked = {1: f"What does {middle} cite?", 2: "collaborators in papers by 'Supplier 000000002'", 3: "papers by 'Supplier 000000007'", 4: "highest cited", 5: "W7 W33"}
+    q = spark.createDataFrame(list(asked.items()), "query_id int, query string")
+    rows = hybrid.hybrid(g, q, 8).collect()
+    by = {k: sorted((r for r in rows if r.query_id == k), key=lambda r: r["rank"]) for k in asked}
+    assert {k: {r.template for r in v} for k, v in by.items()} == {1: {"search_citations"}, 2: {"coauthor_network"}, 3: {"author_venue_stats"}, 4: {"top_cited_papers"}, 5: {"search_papers"}}
+    ends = {x for e in cites if middle in e for x in e}
+    assert 3 <= len(ends) <= 8 and {r.paper_id for r in by[1]} == ends and by[1][0].paper_id == middle
+    titles = {r.id: r.title for r in g.papers.collect()}
+    author, venue = ({r.id: r.name for r in d.collect()} for d in (g.authors, g.venues))
+    authored, at = [tuple(r) for r in g.authored.collect()], [tuple(r) for r in g.published_in.select("paper_id", "venue_id").collect()]
+    of_paper, venues_of = {}, {}
+    for a, p in authored:
+        of_paper.setdefault(p, set()).add(a)
+    for p, v in at:
+        venues_of.setdefault(p, []).append(v)
+
+    def brute(ends_in, others, n):
+        found = {}
+        for a, p in authored:
+            if author[a].endswith(ends_in):
+                for x in others(a, p):
+                    found.setdefault((author[a], x), []).append(titles[p])
+        best = sorted(((-len(v), *k, sorted(set(v))[:n]) for k, v in found.items()))[:8]
+        return [(i + 1, a, x, -c, t) for i, (c, a, x, t) in enumerate(best)]
+
+    assert [(r["rank"], r.author, r.coauthor, r.shared_papers, r.sample_titles) for r in by[2]] == brute("02", lambda a, p: [author[x] for x in of_paper[p] - {a}], 5)
+    assert [(r["rank"], r.author, r.venue, r.paper_count, r.sample_titles) for r in by[3]] == brute("07", lambda a, p: [venue[v] for v in venues_of.get(p, ())], 3)
+    assert {r.paper_id for r in by[2] + by[3]} == {None}
+    assert {r.paper_id for r in by[4]} == set(ids(G.top_cited_papers(g, 8))) and {r.paper_id for r in by[5]} == {"W7", "W33"}
+
+
 def test_page_kernels(spark):
     assert one(spark, T.trimmed_caption(F.lit("a. " + "b" * 1200)).alias("c")).c == "a."
     zero, bits = F.array(F.lit(0).cast("long")), F.array(F.lit(-1).cast("long"))
