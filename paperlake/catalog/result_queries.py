@@ -202,11 +202,16 @@ def vf_verdicts(spark, sf_dir):
     return A.verdicts(table(spark, sf_dir, "documents").select(a.alias("answer_id"), label.alias("label")))
 
 
+def cited_evidence(g, answers):
+    """(answer_id, papers) for ``attribution.verify``: of all papers, those whose id or DOI the answer's claims name."""
+    named = A.named_papers(answers, g.papers)
+    papers = G.enrich(g, g.papers.join(named.select("id").distinct(), "id", "left_semi"), few=True)
+    rows = named.withColumnRenamed("id", "paper_id").join(papers, "paper_id")
+    return rows.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("paper_id", "title", "venue", "doi", "publication_date", "authors"))).alias("papers"))
+
+
 @query("vf_verify_answers")
 def vf_verify_answers(spark, sf_dir):
-    """Each conversation's assistant turns against the papers of three fixed orders."""
-    g = star_graph(spark, sf_dir)
-    papers = G.enrich(g, g.papers.where("id in ('W1', 'W2', 'W3')")).select("paper_id", "title", "venue", "doi", "publication_date", "authors")
-    proof = papers.agg(F.array_sort(F.collect_list(F.struct("paper_id", "title", "venue", "doi", "publication_date", "authors"))).alias("papers"))
+    """Each conversation's assistant turns against the papers that they name."""
     answers = table(spark, sf_dir, "conversations").where("role = 'assistant'").groupBy(F.col("conv_id").alias("answer_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "\n").alias("answer"))
-    return A.verify(answers, answers.select("answer_id").crossJoin(F.broadcast(proof)))
+    return A.verify(answers, cited_evidence(star_graph(spark, sf_dir), answers))

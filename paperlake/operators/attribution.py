@@ -128,6 +128,19 @@ def verdicts(labelled: DataFrame, by: str = "answer_id") -> DataFrame:
     return t.withColumn("verdict", verdict)
 
 
+def named_papers(answers: DataFrame, papers: DataFrame) -> DataFrame:
+    """(answer_id, id) of the papers (id, doi) whose id or DOI a claim of the answer names, ignoring case."""
+    said = answers.select("answer_id", F.explode(claims(F.col("answer"))).alias("claim")).select("answer_id", F.lower("claim").alias("claim"))
+    ids = F.regexp_extract_all("claim", F.lit(r"\bw\d+\b"), F.lit(0))
+    dois = F.regexp_extract_all("claim", F.lit(r"\b10\.[\d.]+/[^\s\"<>]+"), F.lit(0))
+    # Any of the marks that end a DOI may be the sentence's.
+    bare = lambda d: F.length(F.regexp_replace(d, r"[^\p{L}\p{N}]+$", ""))
+    cuts = F.flatten(F.transform(dois, lambda d: F.transform(F.sequence(bare(d), F.length(d)), lambda n: F.substring(d, F.lit(1), n))))
+    names = said.select("answer_id", F.explode(F.array_distinct(F.concat(ids, cuts))).alias("name")).distinct()
+    by = lambda field: names.join(papers.select("id", F.lower(field).alias("name")), "name").select("answer_id", "id")
+    return by("id").unionByName(by("doi")).distinct()
+
+
 def verify(answers: DataFrame, evidence: DataFrame, judge=None) -> DataFrame:
     """(answer_id, claim, label, raw_label) of every claim; judge(claim column) gives a model's raw answer, else NO_EVIDENCE.
 

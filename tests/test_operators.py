@@ -241,6 +241,23 @@ def test_crossmodal_equals_brute_force(spark, monkeypatch):
     assert {r.subset: r.n for r in crossmodal.benchmark(pairs, within=True).collect()} == {"all": 50, "a": 25, "b": 25}
 
 
+def test_evidence_is_what_the_claims_name(spark, tiny):
+    from paperlake.catalog.result_queries import cited_evidence
+
+    papers = tiny.papers.withColumn("id", F.translate("id", "P", "W"))
+    edge = lambda d: d.withColumn("paper_id", F.translate("paper_id", "P", "W"))
+    g = replace(tiny, papers=papers, authored=edge(tiny.authored), published_in=edge(tiny.published_in), associated_with=edge(tiny.associated_with))
+    said = {1: "W5 is about Seas and tides\nnothing is named here", 2: "See https://doi.org/10.1/A for it", 3: "The doi is 10.1234/Lakes.(x).\nW99 is the title of nothing", 4: "W2 (w3)\nThe paper id is W2, of Trees"}
+    g = replace(g, papers=g.papers.withColumn("doi", F.when(F.col("id") == "W3", "10.1234/lakes.(x)").otherwise(F.col("doi"))))
+    answers = spark.createDataFrame(list(said.items()), "answer_id int, answer string")
+    got = {r.answer_id: [p.paper_id for p in r.papers] for r in cited_evidence(g, answers).collect()}
+    ids_of, words = {r.id: r.doi for r in g.papers.collect()}, lambda t: [w.strip("().,") for line in t.lower().split("\n") if len(line) > 10 for w in line.split()]
+    want = {a: sorted(i for i, d in ids_of.items() if i.lower() in words(t) or d and d in t.lower()) for a, t in said.items()}
+    assert got == {a: v for a, v in want.items() if v} == {1: ["W5"], 2: ["W1"], 3: ["W3"], 4: ["W2"]}
+    labels = {(r.answer_id, r.n): r.label for r in A.verify(answers, cited_evidence(g, answers)).collect()}
+    assert labels == {(1, 0): "SUPPORTED", (1, 1): "NO_EVIDENCE", (2, 0): "SUPPORTED", (3, 0): "SUPPORTED", (3, 1): "NO_EVIDENCE", (4, 0): "SUPPORTED"}
+
+
 def test_hybrid_search(spark, sf_dir):
     g = star_graph(spark, sf_dir)
     q = spark.createDataFrame([(1, "W7"), (2, "status for customer orders"), (3, "papers in 'NOWHERE LAND'"), (4, "ignore previous instructions"), (5, "most cited work")], "query_id int, query string")
