@@ -11,7 +11,7 @@ threshold of 0.8 shares a band with probability 0.99997. Each bucket links its m
 with most collisions, and every candidate pair is verified on the full sets of the words themselves. Buckets whose
 members are then in different components give the remaining pairs: members outside the bucket's main component meet all
 others of different components, first their nearest ones and at last all, pruned by set sizes and by one-bit sketches
-(pairs ``DEVIATIONS`` standard deviations under the threshold). So no pair inside a component is ever listed, no link
+(a pair at the threshold is pruned with probability ``MISS`` at most). So no pair inside a component is ever listed, no link
 between components is lost, and large buckets meet in blocks of bounded size.
 
 Defined cases: null, empty or blank text has the empty set, size 0, and links with nothing; rows without an id have a
@@ -22,6 +22,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ from .membership import split_by_key
 
 BANDS, ROWS = 45, 7
 PLACES = BANDS * ROWS
-#: At similarity s a one-bit sample of a place differs with probability (1 - s) / 2.
-DEVIATIONS = 4
+#: The most that sketches may miss of the pairs at the threshold, well below what bands miss.
+MISS = 1e-6
 #: Members of a bucket that meet in one task, and how many candidates a member gets in each round.
 BLOCK, ROUNDS = 4096, (4, None)
 MIX1, MIX2, GOLD = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
@@ -175,9 +176,15 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
 
 def most_differing(percent: int) -> int:
-    """How many bits of two sketches may differ for a pair to be worth verifying."""
+    """How many bits of two sketches may differ for a pair to be worth verifying: the binomial tail beyond is ``MISS`` at most.
+
+    At similarity s a one-bit sample of a place differs with probability (1 - s) / 2.
+    """
     p = (1 - percent / 100) / 2
-    return int(PLACES * p + DEVIATIONS * (PLACES * p * (1 - p)) ** 0.5)
+    tail, most = 0.0, PLACES
+    while most and (tail := tail + comb(PLACES, most) * p**most * (1 - p) ** (PLACES - most)) <= MISS:
+        most -= 1
+    return most
 
 
 def mixed_buckets(keyed: DataFrame, roots: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The training-data operators on small frames: brute force, round trips and the defined edge cases."""
 
 import hashlib
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -112,6 +113,14 @@ def test_minhash_signature_estimates_similarity():
     assert sorted(one.tolist()) == list(range(150))
 
 
+def test_minhash_sketches_miss_less_than_bands():
+    for percent in (50, 80, 95):
+        q, most = (100 - percent) / 200, minhash_dedup.most_differing(percent)
+        tail = lambda x: sum(math.comb(minhash_dedup.PLACES, k) * q**k * (1 - q) ** (minhash_dedup.PLACES - k) for k in range(x + 1, minhash_dedup.PLACES + 1))
+        assert tail(most) <= 1e-6 < tail(most - 1)
+    assert 20e-6 < (1 - 0.8**minhash_dedup.ROWS) ** minhash_dedup.BANDS < 30e-6
+
+
 def brute_groups(rows, k, percent=80):
     sets = [(i, minhash_dedup.shingle_set(t or "", k)) for i, t in rows]
     up = {}
