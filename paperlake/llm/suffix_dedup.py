@@ -1,4 +1,4 @@
-"""Repeated byte strings by suffix arrays and longest-previous-factor arrays.
+"""Repeated byte strings by suffix order up to a fixed length.
 
 A byte is repeated if it lies in a string of ``length`` bytes that also starts somewhere else. All such strings of the
 corpus are found without one suffix array over it:
@@ -7,10 +7,10 @@ corpus are found without one suffix array over it:
    equal anchors, so repeats only need to be looked for among windows of one anchor. Neighbouring windows share their
    anchor: an occurrence is a run of windows with its text, the context. Anchors that occur once are dropped.
 2. Equal contexts of an anchor are merged with a count; the windows of a merged context are repeated at once.
-3. The distinct contexts of an anchor meet in one task. Prefix doubling over their joined bytes gives the suffix order
-   up to ``length`` bytes; in it, a suffix's previous and next smaller positions are its candidate earlier matches, and
-   the longer of their common prefixes is its longest previous factor. Positions whose factor reaches ``length`` and
-   the matches that they point to are repeated.
+3. The distinct contexts of an anchor meet in one task. Prefix doubling over their joined bytes gives the classes of
+   equal strings of ``length`` bytes. A longest previous factor reaches ``length`` where an earlier position has the same
+   class, so the classes stand in for the factors' lengths, which are not computed. Such positions and the earlier ones
+   are repeated.
 4. An anchor with more than ``CROWD`` distinct contexts would make an unbounded task. Its contexts are cut into blocks of
    ``BLOCK`` windows, aligned at the anchor; the bytes that all windows of a block share are an anchor of their own, and
    steps 1 to 3 run again on the blocks. What is still crowded then is hashed window by window (128 bits) and counted by
