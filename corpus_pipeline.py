@@ -1,5 +1,5 @@
 """The corpus pipeline: toxic documents go, repeated lines go, one document of each near-duplicate group stays, sources
-are mixed to their target weights, and what is left is encoded.
+are mixed to their target weights, and what is left is encoded, and decoded from the ids.
 
 Each stage takes (spark, docs, sf_dir) and returns the rows of the next one's docs; all but the last keep the columns
 of documents. A text that line de-duplication shortens gets its own ``n_chars``; a document that it empties stays as
@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = bpe.encode(docs, vocabulary(), carry=[c for c in docs.columns if c != "text"])
+    done = bpe.encode(docs, vocabulary(), carry=[c for c in docs.columns if c != "text"], decoded=True)
     return done.withColumn("n_tokens", F.size("ids").cast("long"))
 
 

@@ -429,3 +429,13 @@ def test_pipeline(spark, sf_dir):
     assert sorted(i for i, _ in texts["minhash_dedup"]) == sorted(i for i, _, top in groups if i == top)
     assert {i for i, _ in texts["source_mixing"]} <= {i for i, _ in texts["minhash_dedup"]}
     assert kept["bpe"].count() == len(texts["source_mixing"]) == corpus_pipeline.run(spark, sf_dir).count()
+
+
+def test_pipeline_decodes(spark, sf_dir):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.vocabulary())
+    docs = spark.createDataFrame([(1, "Hello's world't 12"), (2, None), (3, prose(50, 5))], "doc_id long, text string")
+    got = {r.doc_id: r for r in corpus_pipeline.encode(spark, docs, sf_dir).collect()}
+    assert len(got) == 3 and all(r.decoded == library.decode(list(r.ids), skip_special_tokens=False) and r.n_tokens == len(r.ids) for r in got.values())
