@@ -8,7 +8,7 @@ from ..functions import page_text as T
 from ..plans import hybrid as H
 from ..sources import files
 from ..sources.graph import star_graph, table
-from ..sources.queries import QUESTIONS
+from ..sources.queries import questions
 from ..streaming import metrics as M
 from ..streaming import sessions as S
 from ..streaming.run import events_stream, run_to_end
@@ -242,8 +242,7 @@ def fl_cursor_stream(spark, sf_dir):
 
 @query("cp_hybrid_search")
 def cp_hybrid_search(spark, sf_dir):
-    asked = spark.createDataFrame(list(enumerate(QUESTIONS)), "query_id long, query string")
-    return H.hybrid(star_graph(spark, sf_dir), asked, 10)
+    return H.hybrid(star_graph(spark, sf_dir), questions(spark, sf_dir), 10)
 
 
 @query("cp_graph_candidates", """WITH RECURSIVE dummy AS (SELECT 1), p AS (SELECT 'W' || o_orderkey AS id, lower('Order ' || o_orderkey || ' ' || o_orderpriority || CASE WHEN o_orderkey % 5 <> 0 THEN chr(10) || 'Status ' || o_orderstatus || ' for customer ' || o_custkey ELSE '' END) AS t, year(o_orderdate) AS y, o_orderkey, o_custkey FROM orders)

@@ -34,7 +34,8 @@ def graph_candidates(g: Graph, asked: DataFrame) -> DataFrame:
         by.append(names.join(node, named).select("query_id", F.col("id").alias(key)).join(edge, key).select("query_id", F.col("paper_id").alias("id")))
     words = part("keywords", "w")
     text = F.lower(F.concat_ws("\n", "title", "abstract"))
-    by.append(g.papers.select("id", text.alias("t")).join(words, F.contains("t", F.lower("w"))).select("query_id", "id"))
+    held = g.papers.select("id", text.alias("t")).join(words.select("w").distinct(), F.contains("t", F.lower("w"))).select("id", "w")
+    by.append(held.join(words, "w").select("query_id", "id"))
     years = asked.where(e["year"].isNotNull() | e["year_from"].isNotNull()).select("query_id", e["year"].alias("y"), e["year_from"].alias("lo"), e["year_to"].alias("hi"))
     fit = F.startswith("publication_date", "y") | ((F.col("publication_date") >= F.col("lo")) & (F.col("publication_date") < F.col("hi")))
     by.append(g.papers.select("id", "publication_date").join(years, fit).select("query_id", "id"))

@@ -304,6 +304,17 @@ def test_hybrid_search_runs_the_template(spark, sf_dir):
     assert {r.paper_id for r in by[4]} == set(ids(G.top_cited_papers(g, 8))) and {r.paper_id for r in by[5]} == {"W7", "W33"}
 
 
+def test_hybrid_query_asks_all_questions(spark, sf_dir, monkeypatch):
+    from paperlake import catalog
+    from paperlake.sources.queries import questions
+
+    catalog.load()
+    asked = []
+    monkeypatch.setattr(hybrid, "hybrid", lambda g, q, k: asked.append({r.query_id for r in q.collect()}))
+    catalog.REGISTRY["cp_hybrid_search"](spark, sf_dir)
+    assert asked == [{r.query_id for r in questions(spark, sf_dir).collect()}] and max(asked[0]) > 1000
+
+
 def test_page_kernels(spark):
     assert one(spark, T.trimmed_caption(F.lit("a. " + "b" * 1200)).alias("c")).c == "a."
     zero, bits = F.array(F.lit(0).cast("long")), F.array(F.lit(-1).cast("long"))
