@@ -2,26 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-_TEMPORARY: set[str] = set()
-
-
-def folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        shared = f"{tempfile.gettempdir()}/paperlake-{spark.sparkContext.applicationId}"
-        if shared not in _TEMPORARY:
-            _TEMPORARY.add(shared)
-            atexit.register(shutil.rmtree, shared, True)
-    return shared.rstrip("/")
+from ..sources.scratch import folder
 
 
 def events_stream(spark: SparkSession, sf_dir: str, late: str = "10 minutes") -> DataFrame:
