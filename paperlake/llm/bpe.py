@@ -135,7 +135,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", carry: list
     added = ["ids", *["decoded"] * decoded]
     kept = [c for c in (docs.columns if carry is None else carry) if c not in added]
     row = F.struct(*[F.col(f"`{c}`") for c in kept] or [F.lit(0).alias("none")]).alias("row")
-    source = docs.select(row, text_of(f"`{text_col}`").alias("text"))
+    source = docs.select(row, text_of(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = shared.value

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import sys
-import tempfile
 import types
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.scratch import forget as drop_cut
+from ..sources.scratch import kept
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,18 +21,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def named(column: str) -> Column:
+    """The column of this very name, dots included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def text_of(column: str) -> Column:
     """The text, with null as the empty text."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(named(column).cast("string"), F.lit(""))
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that the cluster shares for cut points; a temporary one only where none is set (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        shared = tempfile.gettempdir() + "/paperlake-scratch-" + spark.sparkContext.applicationId
-        worker_memory(shared, lambda: atexit.register(shutil.rmtree, shared, True))
-    return shared.rstrip("/")
+def long_id(docs: DataFrame, column: str) -> Column:
+    """The id as a long; ids of other types than integers are refused."""
+    kind = next(f.dataType for f in docs.schema.fields if f.name == column)
+    if not isinstance(kind, T.IntegralType | T.NullType):
+        raise ValueError(f"{column} has to be an integer column here, not {kind.simpleString()}")
+    return named(column).cast("long")
 
 
 def worker_memory(name: str, make):
@@ -45,21 +49,7 @@ def worker_memory(name: str, make):
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df into the shared folder and read it back: lineage ends here and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._paperlake_path = path
-    return out
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Delete a cut point that no later plan reads."""
-    path = getattr(df, "_paperlake_path", None)
-    if path is not None:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+    return kept(df, "cut", compression="zstd")
 
 
 #: Edges that one task holds while it makes their spanning forest.
