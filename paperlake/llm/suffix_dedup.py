@@ -6,11 +6,11 @@ corpus are found without one suffix array over it:
 1. Each window of ``length`` bytes picks the smallest hash among its substrings of ``GRAM`` bytes. Equal windows pick
    equal anchors, so repeats only need to be looked for among windows of one anchor. Neighbouring windows share their
    anchor: an occurrence is a run of windows with its text, the context. Anchors that occur once are dropped.
-2. Equal contexts of an anchor are merged with a count; the windows of a merged context are repeated at once.
-3. The distinct contexts of an anchor meet in one task. Prefix doubling over their joined bytes gives the classes of
-   equal strings of ``length`` bytes. A longest previous factor reaches ``length`` where an earlier position has the same
-   class, so the classes stand in for the factors' lengths, which are not computed. Such positions and the earlier ones
-   are repeated.
+2. Equal contexts of an anchor are merged with a count; the windows of a merged context are repeated at once. Equal here
+   means 128 bits of two hashes, of the anchor and of the context; only distinct contexts move their bytes.
+3. The distinct contexts of an anchor meet in one task. Prefix doubling over their joined bytes gives the suffix order;
+   the previous and next smaller positions in it give each position's longest previous factor, which is computed up to
+   ``length``. Positions whose factor reaches ``length``, and the earlier positions that it is a copy of, are repeated.
 4. An anchor with more than ``CROWD`` distinct contexts would make an unbounded task. Its contexts are cut into blocks of
    ``BLOCK`` windows, aligned at the anchor; the bytes that all windows of a block share are an anchor of their own, and
    steps 1 to 3 run again on the blocks. What is still crowded then is hashed window by window (128 bits) and counted by
@@ -19,7 +19,7 @@ corpus are found without one suffix array over it:
 Repeated windows go back to every occurrence of their context and are united per document. ``keep="none"`` removes
 every repeated byte, ``keep="first"`` leaves the first copy (by id, then position) of each repeated string.
 
-Defined cases: null text is empty; texts shorter than ``length`` have no repeats; rows that repeat an id are documents
+Defined cases: ids are integers, others are refused with a ValueError; null text is empty; texts shorter than ``length`` have no repeats; rows that repeat an id are documents
 of their own, so equal rows repeat each other; matches never cross documents; documents may be of any length; a
 null id is an id of its own; an empty table gives an empty result; other columns are ignored.
 """
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, text_of
+from .common import cut, drop_cut, long_id, named, text_of
 from .membership import split_by_key
 
 LENGTH, GRAM, CROWD, JOINED, SEGMENT = 400, 64, 256, 1 << 20, 1 << 23
@@ -105,42 +105,91 @@ def contexts(data: np.ndarray, powers: Powers, length: int) -> tuple[np.ndarray,
     return grams[at], h.of(starts, starts + counts - 1 + length) ^ mixed((at - starts).astype(np.uint64)), starts, counts
 
 
-def suffix_classes(data: np.ndarray, length: int) -> np.ndarray:
-    """For each position, the rank of the next ``length`` bytes among all (equal strings, equal ranks), by prefix doubling."""
-    n = len(data)
-    wide = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    word = np.zeros(n, np.uint64)
-    for j in range(8):
-        word = word << np.uint64(8) | wide[j : j + n]
-    rank, h = _ranks(word), 8
-    while h < length:
-        step = min(h, length - h)
-        rest = np.zeros(n, np.uint64)
-        rest[: max(0, n - step)] = rank[step:] + 1
-        rank, h = _ranks(rank.astype(np.uint64) << np.uint64(32) | rest), h + step
-    return rank
+def stable_order(keys: np.ndarray) -> np.ndarray:
+    """The order of keys under 2**32, ties as they stand, by radix passes of 16 bits."""
+    order = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(keys) and keys.max() >> 16:
+        order = order[np.argsort((keys[order] >> 16).astype(np.uint16), kind="stable")]
+    return order
 
 
-def _ranks(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys)
-    ordered = keys[order]
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-    return out
+class Suffixes:
+    """The suffixes of joined texts in the order of their next ``length`` bytes, by prefix doubling.
 
+    levels: (h, rank of the next h bytes at every position; equal strings, equal ranks) for h = 8, 16, ... and ``length``.
+    """
 
-def previous_factors(rank: np.ndarray, valid: np.ndarray) -> np.ndarray:
-    """For each valid position, the earlier match of its longest previous factor if that reaches the full length, else -1.
-
-    In suffix order, with equal strings by position, the previous smaller position of a suffix with an equal
-    predecessor is that predecessor; a next smaller position always starts another string.
+    def __init__(self, data: np.ndarray, length: int):
+        n, self.length = len(data), length
+        wide = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+        self.word = np.zeros(n, np.uint64)
+        for j in range(8):
+            self.word = self.word << np.uint64(8) | wide[j : j + n]
+        order = np.arange(n)
+        for low in (0, 32):
+            order = order[stable_order((self.word[order] >> np.uint64(low) & np.uint64(0xFFFFFFFF)).astype(np.int64))]
+        ordered = self.word[order]
+        rank, h = self._numbered(order, ordered[1:] != ordered[:-1]), 8
+        self.levels = [(h, rank)]
+        while h < length:
+            step = min(h, length - h)
+            # The order by what follows is known; a stable sort by what is in front makes it the order by both.
+            behind = np.concatenate([np.arange(max(0, n - step), n), order[order >= step] - step])
+            order = behind[stable_order(rank[behind])]
+            front, rest = rank[order], np.append(rank, np.full(step, -1, np.int32))[order + step]
+            rank, h = self._numbered(order, (front[1:] != front[:-1]) | (rest[1:] != rest[:-1])), h + step
+            self.levels.append((h, rank))
+
+    @staticmethod
+    def _numbered(order: np.ndarray, new: np.ndarray) -> np.ndarray:
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.cumsum(np.concatenate([[0], new]))
+        return rank
+
+    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The longest common prefix of the suffixes at x and y, ``length`` at most."""
+        out = np.zeros(len(x), np.int64)
+        for h, rank in reversed(self.levels):
+            at = np.flatnonzero(out + h <= self.length)
+            same = at[rank[x[at] + out[at]] == rank[y[at] + out[at]]]
+            out[same] += h
+        rest = np.flatnonzero(out < self.length)
+        differ = self.word[x[rest] + out[rest]] ^ self.word[y[rest] + out[rest]]
+        for j in range(7, 0, -1):
+            out[rest] += differ >> np.uint64(8 * j) == 0
+        out[rest] = np.minimum(out[rest], self.length - 1)
+        return out
+
+
+def nearest_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place of a list of distinct numbers, the nearest place before it with a smaller one, or -1, by pointer jumping."""
+    near = np.arange(-1, len(values) - 1)
+    ended = np.append(values, -1)
+    open_ = np.flatnonzero(ended[near] > values)
+    while len(open_):
+        near[open_] = near[near[open_]]
+        open_ = open_[ended[near[open_]] > values[open_]]
+    return near
+
+
+def longest_previous_factors(data: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, sources) of all positions: the longest match of a valid position that begins at an earlier valid one.
+
+    In suffix order (equal strings by position) the earlier positions nearest to a suffix on either side are its previous
+    and next smaller ones; the longer of the two common prefixes, ``length`` at most, is its longest previous factor.
     """
+    suffixes = Suffixes(data, length)
     where = np.flatnonzero(valid)
-    order = where[np.lexsort((where, rank[where]))]
-    earlier = np.full(len(rank), -1, np.int64)
-    equal = rank[order[1:]] == rank[order[:-1]]
-    earlier[order[1:][equal]] = order[:-1][equal]
-    return earlier
+    order = where[stable_order(suffixes.levels[-1][1][where])]
+    lengths, sources = np.zeros(len(data), np.int64), np.full(len(data), -1, np.int64)
+    before = nearest_smaller(order)
+    after = len(order) - 1 - nearest_smaller(order[::-1])[::-1]
+    for near, has in ((before, before >= 0), (after, after < len(order))):
+        mine, other = order[has], order[near[has]]
+        got = suffixes.common(mine, other)
+        longer = got > lengths[mine]
+        lengths[mine[longer]], sources[mine[longer]] = got[longer], other[longer]
+    return lengths, sources
 
 
 def runs(flags: np.ndarray) -> np.ndarray:
@@ -159,10 +208,10 @@ def repeated_windows(texts: list[bytes], counts: list[int], length: int = LENGTH
     valid = np.zeros(len(data), bool)
     for end, text, n in zip(ends, texts, counts, strict=True):
         valid[end - len(text) : end - len(text) + n] = True
-    earlier = previous_factors(suffix_classes(data, length), valid)
-    later = earlier >= 0
+    factors, sources = longest_previous_factors(data, valid, length)
+    later = factors >= length
     seen = later.copy()
-    seen[earlier[later]] = True
+    seen[sources[later]] = True
     return [(seen[e - len(t) : e - len(t) + n], later[e - len(t) : e - len(t) + n]) for e, t, n in zip(ends, texts, counts, strict=True)]
 
 
@@ -328,7 +377,7 @@ def resolve(here: DataFrame, pieces, length: int, deep: bool = False) -> DataFra
     merged = cut(here.groupBy("anchor", "ctx", "single").agg(first.alias("m")).select("anchor", "ctx", "single", "m.at.k1", "m.at.k2", "m.at.lo", "m.n", "m.copies"))
     several = merged.where("not single")
     crowd = several.groupBy("anchor").agg(F.count("*").alias("contexts")).select("anchor", (F.col("contexts") > CROWD).alias("crowded"))
-    texts = cut(pieces(several.join(crowd, "anchor")))
+    texts = cut(pieces(several.join(cut(crowd), "anchor")))
     matched = match_contexts(texts.where("not crowded"), length)
     crowded = texts.where("crowded")
     if not crowded.isEmpty():
@@ -341,7 +390,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, keep: str = "first", id_
     """One row per document: id, kept (the text's remaining bytes), spans [(start, end)] removed, n_bytes, n_removed, n_spans."""
     if keep not in ("first", "none"):
         raise ValueError(f"keep is first or none, not {keep}")
-    keyed = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).select("id", F.coalesce(F.col("id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64("t").alias("k2"), F.encode("t", "UTF-8").alias("bytes"))
+    long_id(docs, id_col)
+    keyed = docs.select(named(id_col).alias("id"), text_of(text_col).alias("t")).select("id", F.coalesce(F.col("id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64("t").alias("k2"), F.encode("t", "UTF-8").alias("bytes"))
     found = cut(occurrences(keyed.where(F.length("bytes") >= length), length))
     here = shared_only(found)
     drop_cut(found)
