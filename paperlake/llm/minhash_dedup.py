@@ -8,21 +8,26 @@ that are reached are computed.
 
 Documents with equal sets are one from here on. ``BANDS`` bands of ``ROWS`` places give candidates: a pair at the
 threshold of 0.8 shares a band with probability 0.99997. Each bucket links its members to its centre only, the member
-with most collisions, and every candidate pair is verified on the full sets of the words themselves. Buckets whose
-members are then in different components give the remaining pairs: members outside the bucket's main component meet all
-others of different components, first their nearest ones and at last all, pruned by set sizes and by one-bit sketches
-(a pair at the threshold is pruned with probability ``MISS`` at most). So no pair inside a component is ever listed, no link
-between components is lost, and large buckets meet in blocks of bounded size.
-
-Defined cases: null, empty or blank text has the empty set, size 0, and links with nothing; rows without an id have a
-null component and are kept only by themselves; rows that repeat an id are one node; equal texts are linked; an
-empty table gives an empty result; other columns are ignored.
+with most collisions. Buckets whose members are then in different components give the remaining pairs: members outside
+the bucket's main component meet all others of different components, first their nearest ones and at last all. So no
+pair inside a component is ever listed and no link between components is lost.
+
+Pairs are pruned without loss before their texts are compared: a document's parity bitmap has a bit for each residue of
+its shingles' hashes, set if an odd number of shingles have it. Two bitmaps differ in no more bits than the sets differ
+in shingles, so more differing bits than the threshold allows prove the pair below it. A bitmap has four to eight bits
+a shingle; the wider one of two is folded. What is left is verified on the full sets of the words themselves.
+
+In a large bucket members meet in cells, one for each block of members and block of minor members. A block has some
+``BLOCK_BYTES`` of bitmaps and bands, so no task holds more than a few blocks, however many documents are alike.
+
+Defined cases: ids are integers, others are refused with a ValueError; null, empty or blank text has the empty set, size
+0, and links with nothing; rows without an id have a null component and are kept only by themselves; rows that repeat an
+id are one node; equal texts are linked; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, text_of
+from .common import components, cut, drop_cut, long_id, named, text_of
 from .membership import split_by_key
 
 BANDS, ROWS = 45, 7
 PLACES = BANDS * ROWS
-#: The most that sketches may miss of the pairs at the threshold, well below what bands miss.
-MISS = 1e-6
-#: Members of a bucket that meet in one task, and how many candidates a member gets in each round.
-BLOCK, ROUNDS = 4096, (4, None)
+#: Bytes of one block of a bucket's members, and how many candidates a member gets in each round.
+BLOCK_BYTES, ROUNDS = 4 << 20, (4, None)
 MIX1, MIX2, GOLD = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
 
@@ -110,15 +113,32 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketches(sig: np.ndarray) -> np.ndarray:
-    """One bit of each place, in words of 64."""
-    bits = (mixed(sig) & np.uint64(1)).astype(np.uint8)
-    bits = np.pad(bits, ((0, 0), (0, -sig.shape[1] % 64)))
-    return np.packbits(bits, axis=1).view(np.int64)
+def parity(elements: np.ndarray) -> bytes:
+    """A bit for each residue of the set's elements by a power of two of at least four times their number: whether odd many have it."""
+    width = 1 << max(6, (4 * len(elements) - 1).bit_length())
+    odd = np.bincount((elements & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def words_in(bits: bytes) -> np.ndarray:
+    return np.frombuffer(bits, np.uint64)
+
+
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (rows of words) as they would be with ``width`` words, their number or a smaller power of two."""
+    while words.shape[-1] > width:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
+
+
+def can_reach(differing: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes in total, which differ in so many elements at least, can be alike enough."""
+    return (100 + percent) * differing <= (100 - percent) * sizes
 
 
 def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), same (fingerprint of the set), bands, sketch (the last three null for empty sets)."""
+    """id, n (set size), same (fingerprint of the set), bands, bits (parity bitmap); the last three null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(k)
@@ -134,16 +154,16 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
                 sig = superminhash(np.concatenate(sets), n.cumsum())
                 has = n > 0
                 none = [None] * len(sets)
-                same, band, sketch = list(none), list(none), list(none)
-                for i, x, y in zip(np.flatnonzero(has), bands_of(sig[has]).tolist(), sketches(sig[has]).tolist(), strict=True):
-                    same[i], band[i], sketch[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), x, y
+                same, band, bits = list(none), list(none), list(none)
+                for i, x in zip(np.flatnonzero(has), bands_of(sig[has]).tolist(), strict=True):
+                    same[i], band[i], bits[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), x, parity(sets[i])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(start, at - start), pa.array(n), pa.array(same, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                    names=["id", "n", "same", "bands", "sketch"],
+                    [b.column("id").slice(start, at - start), pa.array(n), pa.array(same, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                    names=["id", "n", "same", "bands", "bits"],
                 )
 
-    given = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return given.mapInArrow(run, "id long, n long, same binary, bands array<long>, sketch array<long>")
+    given = docs.select(long_id(docs, id_col).alias("id"), text_of(text_col).alias("text"))
+    return given.mapInArrow(run, "id long, n long, same binary, bands array<long>, bits binary")
 
 
 def shingle_set(text: str, k: int) -> set:
@@ -175,80 +195,118 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return pairs.select("a", "b").join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def most_differing(percent: int) -> int:
-    """How many bits of two sketches may differ for a pair to be worth verifying: the binomial tail beyond is ``MISS`` at most.
+def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of pairs that sizes and bitmaps do not prove to be below the threshold. sets: id, n, bits."""
 
-    At similarity s a one-bit sample of a place differs with probability (1 - s) / 2.
-    """
-    p = (1 - percent / 100) / 2
-    tail, most = 0.0, PLACES
-    while most and (tail := tail + comb(PLACES, most) * p**most * (1 - p) ** (PLACES - most)) <= MISS:
-        most -= 1
-    return most
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            differing = []
+            for x, y in zip(batch.column("bits_a"), batch.column("bits_b"), strict=True):
+                x, y = words_in(x.as_py()), words_in(y.as_py())
+                width = min(len(x), len(y))
+                differing.append(int(np.bitwise_count(folded(x, width) ^ folded(y, width)).sum()))
+            sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            fit = pa.array(can_reach(np.array(differing, np.int64), sizes, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(fit) for c in ("a", "b")], names=["a", "b"])
+
+    side = lambda s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
+    met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return met.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
 def mixed_buckets(keyed: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, blocks, minor, id, root, n, sketch) of buckets whose members are in several components; minor: outside the largest of them."""
-    placed = keyed.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "size", "id", F.coalesce("root", "id").alias("root"), "n", "sketch")
-    parts = placed.groupBy("key", "root").agg(F.count("*").alias("members"))
-    main = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("members", "root")).alias("main")).where("parts > 1")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    return placed.join(cut(main), "key").select("key", blocks.alias("blocks"), (F.col("root") != F.col("main")).alias("minor"), "id", "root", "n", "sketch")
+    """(key, minor, id, root, n, blocks, minor_blocks) of buckets whose members are in several components; minor: outside the largest of them."""
+    placed = keyed.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"), "n")
+    # A bitmap has a byte a shingle at most.
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("members"), F.sum(F.col("n") + 8 * BANDS).alias("bytes"))
+    main = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("members", "root", "bytes")).alias("main"), F.sum("bytes").alias("bytes")).where("parts > 1")
+    blocks = lambda size: F.ceil(size / BLOCK_BYTES).cast("int")
+    main = main.select("key", F.col("main.root").alias("main"), blocks(F.col("bytes")).alias("blocks"), blocks(F.col("bytes") - F.col("main.bytes")).alias("minor_blocks"))
+    return placed.join(cut(main), "key").select("key", (F.col("root") != F.col("main")).alias("minor"), "id", "root", "n", "blocks", "minor_blocks")
+
+
+class Cell:
+    """A block of a bucket's members, by width of their bitmaps."""
+
+    def __init__(self, ids: np.ndarray, roots: np.ndarray, n: np.ndarray, bits: list[bytes], bands: np.ndarray):
+        self.groups = []
+        width = np.array([len(b) // 8 for b in bits])
+        for w in np.unique(width):
+            at = np.flatnonzero(width == w)
+            words = np.frombuffer(b"".join([bits[i] for i in at]), np.uint64).reshape(len(at), w)
+            self.groups.append((int(w), ids[at], roots[at], n[at], words, bands[at]))
+
+    def near(self, key: int, root: int, n: int, bits: bytes, bands: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, differing bits) of the members that a set can be linked with and whose first common band is this one."""
+        mine = words_in(bits)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for w, ids, roots, sizes, words, other in self.groups:
+            fit = np.flatnonzero((roots != root) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+            if len(fit):
+                width = min(w, len(mine))
+                differing = np.bitwise_count(folded(words[fit], width) ^ folded(mine, width)).sum(axis=1, dtype=np.int64)
+                good = can_reach(differing, sizes[fit] + n, percent)
+                fit, differing = fit[good], differing[good]
+                first = bands[(other[fit] == bands).argmax(axis=1)] == key
+                found.append((ids[fit[first]], differing[first]))
+        return tuple(np.concatenate([f[k] for f in found]) for k in (0, 1))
 
 
 def cross_pairs(open_: DataFrame, percent: int, nearest: int | None) -> DataFrame:
-    """(a, b) of likely pairs of minor members with members of other components, their nearest ones or all.
+    """(a, b) of possible pairs of minor members with members of other components, their nearest ones of each block or all.
 
-    A pair that shares several buckets comes from the first of its bands that agree.
+    A pair that shares several buckets comes from the first of its bands that agree. open_: as of mixed_buckets, with bits and bands.
     """
-    most = most_differing(percent)
-    cols = ["key", "block", "minor", "id", "root", "n", "sketch", "bands"]
-    others = open_.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select(*cols)
-    minors = open_.where("minor").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*cols).withColumn("minor", F.lit(None).cast("boolean"))
+    cols = ["key", "i", "j", "asks", "id", "root", "n", "bits", "bands"]
+    own = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    others = open_.withColumn("i", own("blocks")).withColumn("j", every("minor_blocks")).withColumn("asks", F.lit(False))
+    minors = open_.where("minor").withColumn("j", own("minor_blocks")).withColumn("i", every("blocks")).withColumn("asks", F.lit(True))
+
+    def pairs_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        held.clear()
+        asks = t.column("asks").to_numpy()
+        ids, roots, n = (t.column(c).to_numpy() for c in ("id", "root", "n"))
+        bits, bands, key = t.column("bits").to_pylist(), np.stack(t.column("bands").to_numpy()), t.column("key")[0].as_py()
+        y = np.flatnonzero(~asks)
+        cell = Cell(ids[y], roots[y], n[y], [bits[i] for i in y], bands[y])
+        pairs: list[np.ndarray] = []
+        for x in np.flatnonzero(asks):
+            at, differing = cell.near(key, roots[x], n[x], bits[x], bands[x], percent)
+            if nearest is not None and len(at) > nearest:
+                at = at[np.argsort(differing, kind="stable")[:nearest]]
+            pairs.append(np.stack([np.minimum(at, ids[x]), np.maximum(at, ids[x])]))
+            if len(pairs) >= 1000 or pairs[-1].shape[1] > 10_000:
+                yield _batch(pairs)
+                pairs = []
+        yield _batch(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def flush() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            held.clear()
-            ask = t.column("minor").is_null().to_numpy()
-            ids, roots, n = (t.column(c).to_numpy() for c in ("id", "root", "n"))
-            bits, bands = (np.stack(t.column(c).to_numpy()) for c in ("sketch", "bands"))
-            key = t.column("key")[0].as_py()
-            y = np.flatnonzero(~ask)
-            pairs = []
-            for x in np.flatnonzero(ask):
-                d = np.bitwise_count((bits[y] ^ bits[x]).view(np.uint64)).sum(axis=1)
-                fit = (d <= most) & (roots[y] != roots[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))
-                at, d = y[fit], d[fit]
-                first = bands[x][(bands[at] == bands[x]).argmax(axis=1)] == key
-                at, d = at[first], d[first]
-                if nearest is not None and len(at) > nearest:
-                    at = at[np.argsort(d, kind="stable")[:nearest]]
-                pairs.append(np.stack([np.minimum(ids[at], ids[x]), np.maximum(ids[at], ids[x])]))
-            both = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-            both = np.unique(both, axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
-
         last = None
         for b in batches:
             if not len(b):
                 continue
-            key = np.stack([b.column("key").to_numpy(), b.column("block").to_numpy().astype(np.int64)])
-            starts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [len(b)]])
+            cell = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
+            starts = np.concatenate([[0], np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1, [len(b)]])
             for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-                if held and tuple(key[:, lo]) != last:
-                    yield flush()
-                last = tuple(key[:, lo])
+                if held and tuple(cell[:, lo]) != last:
+                    yield from pairs_of(held)
+                last = tuple(cell[:, lo])
                 held.append(b.slice(lo, hi - lo))
         if held:
-            yield flush()
+            yield from pairs_of(held)
 
-    met = others.unionByName(minors).repartition("key", "block").sortWithinPartitions("key", "block")
+    met = others.select(*cols).unionByName(minors.select(*cols)).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
+def _batch(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    both = np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+
 def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     signed = cut(signatures(docs, k, id_col, text_col))
@@ -256,25 +314,28 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     heads = sets.groupBy("same").agg(F.min("id").alias("rep"))
     # Every document belongs to the smallest id with its set; an id with several texts links what they belong to.
     member = cut(sets.select("id", "same").join(heads, "same").select("id", "rep"))
-    reps = sets.join(heads.select(F.col("rep").alias("id"), "same"), ["same", "id"]).dropDuplicates(["same"]).select("id", "n", "bands", "sketch")
+    reps = cut(sets.join(heads.select(F.col("rep").alias("id"), "same"), ["same", "id"]).dropDuplicates(["same"]).select("id", "n", "bands", "bits"))
     common = reps.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    keyed = cut(reps.select("id", F.explode("bands").alias("key")).join(common, "key"))
+    keyed = cut(reps.select("id", "n", F.explode("bands").alias("key")).join(common, "key"))
     degree = keyed.groupBy("id").agg(F.sum("size").alias("degree"))
-    keyed = cut(keyed.join(reps.select("id", "n", "sketch").join(degree, "id"), "id").select("key", "size", "id", "n", "sketch", "degree"))
-    centre = cut(keyed.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("back"), "n", "sketch")).alias("c")))
-    differing = F.aggregate(F.zip_with("sketch", F.col("c.sketch"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    likely = (100 * F.least("n", F.col("c.n")) >= percent * F.greatest("n", F.col("c.n"))) & (differing <= most_differing(percent))
-    stars = keyed.join(centre, "key").where((F.col("id") != -F.col("c.back")) & likely)
-    tried = cut(stars.select(F.least("id", -F.col("c.back")).alias("a"), F.greatest("id", -F.col("c.back")).alias("b")).distinct())
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    centre = cut(keyed.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("back"), "n")).alias("c")))
+    fit = 100 * F.least("n", F.col("c.n")) >= percent * F.greatest("n", F.col("c.n"))
+    stars = keyed.join(centre, "key").where((F.col("id") != -F.col("c.back")) & fit)
+    tried = stars.select(F.least("id", -F.col("c.back")).alias("a"), F.greatest("id", -F.col("c.back")).alias("b")).distinct()
+    tried = cut(likely(tried, reps, percent))
+    texts = docs.select(long_id(docs, id_col).alias("id"), text_of(text_col).alias("text"))
     links = cut(verified(tried, texts, k, percent))
     for nearest in ROUNDS:
-        open_ = cut(mixed_buckets(keyed, components(links)).join(reps.select("id", "bands"), "id"))
+        open_ = cut(mixed_buckets(keyed, components(links)).join(reps.select("id", "bits", "bands"), "id"))
         if open_.isEmpty():
             break
         new = cut(cross_pairs(open_, percent, nearest).join(tried, ["a", "b"], "left_anti"))
+        drop_cut(open_)
         tried = cut(tried.unionByName(new))
         links = cut(links.unionByName(verified(new, texts, k, percent)))
+        drop_cut(new)
+    for done in (keyed, centre, tried, reps):
+        drop_cut(done)
     roots = components(links.unionByName(member.select(F.col("rep").alias("a"), F.col("id").alias("b"))))
     return signed.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
         F.col("id").alias(id_col),
@@ -286,6 +347,6 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
 def keep_representatives(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the members of near-duplicate groups other than the smallest id; rows without an id stay."""
-    groups = minhash_dedup(docs.select(id_col, text_col), k, percent, id_col, text_col)
-    gone = cut(groups.where(~F.col("kept")).select(id_col).distinct())
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    groups = minhash_dedup(docs.select(named(id_col), named(text_col)), k, percent, id_col, text_col)
+    gone = cut(groups.where(~F.col("kept")).select(named(id_col).alias("gone id")).distinct())
+    return docs.join(gone, named(id_col) == F.col("gone id"), "left_anti")
