@@ -5,7 +5,7 @@ Each text is normalised (runs of blanks become one space) and cut where its own
 identifier is a 128-bit hash that is verified: all chunks of the corpus are de-duplicated once, by identifier and
 text, and no identifier may stand for two texts. A text is then its recipe, the ordered list of its chunks'
 identifiers, some 3 % of its length; only recipes are grouped and joined, so long texts move once. Should one
-identifier ever stand for two chunks, recipes keep the colliding chunks' texts in place of identifiers.
+identifier ever stand for two chunks, all recipes carry their whole texts as well, so that results stay exact.
 
 Defined cases: null text equals the empty text; a null id never wins over another id and is kept only in a group
 that has no other id; rows that repeat an id share its decision; an empty table gives an empty result; columns
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, text_of
+from .common import SPACE, cut, named, text_of
 
 MIN_CHUNK, MAX_CHUNK = 256, 2048
 
@@ -44,16 +44,18 @@ def collisions(texts: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256, n_chunks."""
-    texts = docs.select(F.col(id_col).alias("id"), F.regexp_replace(text_of(text_col), SPACE, " ").alias("norm"))
+    texts = docs.select(named(id_col).alias("id"), F.regexp_replace(text_of(text_col), SPACE, " ").alias("norm"))
     twice = collisions(texts).limit(1).count() > 0
     body = F.transform(chunks_of(F.col("norm")), lambda c: F.array(_first(c), _second(c)))
     recipe = F.struct(F.flatten(body).alias("ids"), (F.col("norm") if twice else F.lit("")).alias("spelled"))
     recipes = cut(texts.select("id", F.sha2("norm", 256).alias("text_sha256"), recipe.alias("recipe")))
-    groups = recipes.groupBy("recipe").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-    return recipes.join(groups, "recipe").select(
+    groups = recipes.groupBy("recipe").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    # Written first, so that the join reads two plain exchanges and a group of very many copies can be split.
+    known = recipes.join(cut(groups), "recipe", "left").withColumn("keep_id", F.when(F.col("copies").isNull(), F.col("id")).otherwise(F.col("first")))
+    return known.select(
         F.col("id").alias(id_col),
         "keep_id",
-        "group_size",
+        F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"),
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256",
         (F.size("recipe.ids") / 2).cast("long").alias("n_chunks"),

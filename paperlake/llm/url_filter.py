@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER
+from .common import UPPER, cut, named
 
 BLOCK_WORDS, PROBES, BITS_PER_KEY, MAX_BLOCKS = 8, 8, 16, 1 << 18
 
@@ -101,7 +101,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
         return pd.Series(BlockedBloom(bloom.value).may_hold(key.to_numpy(np.int64)))
 
     host, path = url_parts(F.col("url"))
-    parsed = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")).withColumns({"host": host, "path": path})
+    parsed = pages.select(named(id_col).alias("id"), named(url_col).cast("string").alias("url")).withColumns({"host": host, "path": path})
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     lengths = F.lit(shape["lengths"] or [0]).cast("array<int>")
@@ -116,10 +116,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
         .where(may_be_listed("key"))
     )
     exact = tried.join(listed, ["key", "host", "path"])
-    best = exact.groupBy("url").agg(
-        F.max(F.struct((F.length("host") + F.length("path")).alias("n"), F.concat("host", "path").alias("rule"), "verdict")).alias("best")
-    )
-    return parsed.join(best, "url", "left").select(
+    longest = F.max(F.struct((F.length("host") + F.length("path")).alias("n"), F.concat("host", "path").alias("rule"), "verdict")).alias("best")
+    # Written first, so that the join reads two plain exchanges and a very common URL can be split; null URLs need no join.
+    best = cut(exact.groupBy("url").agg(longest))
+    judged = parsed.where("url is not null").join(best, "url", "left")
+    missing = parsed.where("url is null").withColumn("best", F.lit(None).cast(best.schema["best"].dataType))
+    return judged.unionByName(missing).select(
         F.col("id").alias(id_col),
         "host",
         "path",
