@@ -16,7 +16,7 @@ Only lines that can have a match emit variants: within one edit, the first or th
 so a line whose halves occur nowhere else has none, and one that shares only its first half has its edit behind it.
 This loses nothing and keeps the variants in proportion to the near repeats.
 
-Defined cases: null text has no lines; rows that repeat an id and a text are the same lines and share a decision; a
+Defined cases: ids are integers, others are refused with a ValueError; null text has no lines; rows that repeat an id and a text are the same lines and share a decision; a
 null id sorts before all others; the line that is removed goes with its newline; an empty table gives an empty result;
 other columns pass through.
 """
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, text_of
+from .common import cut, drop_cut, long_id, text_of
 from .membership import split_by_key
 
 EDITS, MIN_WORDS = 1, 5
@@ -95,7 +95,7 @@ def within(a: list[bytes], b: list[bytes]) -> bool:
     return max(len(a), len(b)) - k - m <= EDITS
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """(k1, k2, line, own, other, halves): the line's two hashes and, for long lines, its half keys, first and last in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +110,7 @@ def _lines(docs: DataFrame) -> DataFrame:
                         body = b"\n".join(words)
                         own.append(xxhash.xxh3_64_intdigest(body))
                         other.append(xxhash.xxh3_64_intdigest(body, OTHER))
-                        if len(words) >= MIN_WORDS:
+                        if len(words) >= min_words:
                             flat += half_keys(words)
                         ends.append(len(flat))
                 if len(who) > 50_000 or i + 1 == len(b):
@@ -150,9 +150,9 @@ def _near(pairs: DataFrame) -> DataFrame:
     return pairs.select("own", "other", "said", "mate").mapInArrow(run, "own long, other long")
 
 
-def removed_lines(keyed: DataFrame) -> DataFrame:
+def removed_lines(keyed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(k1, k2, gone): the places of the lines to remove in each text that has any. keyed: k1, k2, text."""
-    lines = cut(_lines(keyed))
+    lines = cut(_lines(keyed, min_words))
     place = F.struct("k1", "k2", "line")
     distinct = cut(lines.groupBy("own", "other").agg(F.min(place).alias("at"), F.first("halves").alias("halves")))
     halves = distinct.select("own", "other", F.posexplode("halves").alias("place", "key")).select("own", "other", "key", F.when(F.col("place") % 2 == 0, FIRST).otherwise(LAST).alias("side"))
@@ -182,18 +182,23 @@ def removed_lines(keyed: DataFrame) -> DataFrame:
     firsts = distinct.join(near.withColumn("near", F.lit(True)), ["own", "other"], "left").select("own", "other", "at", F.coalesce("near", F.lit(False)).alias("near"))
     repeated = lines.groupBy("own", "other").agg(F.count("*").alias("n")).where("n > 1").select("own", "other")
     hot = firsts.join(repeated.withColumn("again", F.lit(True)), ["own", "other"], "left").where("near or again").select("own", "other", "at", "near")
+    # Written first, so that the join reads two plain exchanges and a very common line can be split.
+    hot = cut(hot)
     gone = lines.join(hot, ["own", "other"]).where(F.col("near") | (F.struct("k1", "k2", "line") != F.col("at")))
     out = cut(gone.groupBy("k1", "k2").agg(F.collect_set("line").alias("gone")))
-    for df in (keys, made, lists):
+    for df in (keys, made, lists, lines, distinct, met, near, hot):
         drop_cut(df)
     return out
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the lines removed from the text, and n_lines and n_removed (both of the text as it was)."""
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with the lines removed from the text, and n_lines and n_removed (both of the text as it was).
+
+    min_words: lines of fewer words have to be equal.
+    """
     cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("k1"), text_of(f"`{text_col}`").alias("text")).withColumn("k2", F.xxhash64("text"))
-    gone = removed_lines(keyed)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.coalesce(long_id(docs, id_col), F.lit(-(1 << 63))).alias("k1"), text_of(text_col).alias("text")).withColumn("k2", F.xxhash64("text"))
+    gone = removed_lines(keyed, min_words)
     maybe, clean = split_by_key(keyed, gone, ["k1", "k2"])
     both = maybe.join(gone, ["k1", "k2"], "left").unionByName(clean.withColumn("gone", F.lit(None).cast("array<int>")))
     lines = F.split("text", "\n", -1)
