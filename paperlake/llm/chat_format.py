@@ -13,7 +13,7 @@ Token counts: an image counts ceil(width / 14) * ceil(height / 14), audio 25 a s
 its words; unknown measures count 1.
 
 Defined cases: null text is empty, null parts are the text alone, a null role is the empty role; turns sort by turn,
-then role, then text, nulls first; repeated rows are repeated turns; a null conversation id is a conversation of its
+then role, then text as given, nulls first, then by their parts' content; repeated rows are repeated turns; a null conversation id is a conversation of its
 own; an empty table gives an empty result; other columns are ignored. A conversation is one value of its own, so it
 has to fit a row, as its formatted text does.
 """
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, named, text_of
 
 PARTS = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 PATCH, AUDIO_RATE, PAGE_TOKENS = 14, 25, 256
@@ -60,16 +60,12 @@ def part_tokens(part: Column) -> Column:
 
 def visit(parts: Column) -> tuple[Column, Column, Column]:
     """(content, attachments, tokens) of a list of parts."""
-    other = F.filter(parts, lambda p: ~p["type"].eqNullSafe("text"))
+    is_text = lambda p: p["type"].eqNullSafe("text")
+    other = F.filter(parts, lambda p: ~is_text(p))
     kind = lambda p: escape(F.coalesce(p["type"], F.lit("part")))
-    shown = F.aggregate(
-        parts,
-        F.struct(F.lit("").alias("s"), F.lit(0).alias("n")),
-        lambda acc, p: F.when(
-            p["type"].eqNullSafe("text"), F.struct(F.concat(acc["s"], escape(F.coalesce(p["text"], F.lit("")))).alias("s"), acc["n"].alias("n"))
-        ).otherwise(F.struct(F.concat(acc["s"], F.lit("<"), kind(p), F.lit(" "), acc["n"].cast("string"), F.lit("/>")).alias("s"), (acc["n"] + 1).alias("n"))),
-        lambda acc: acc["s"],
-    )
+    slot = lambda i: F.size(F.filter(F.slice(parts, F.lit(1), i), lambda p: ~is_text(p))).cast("string")
+    placeholder = lambda p, i: F.concat(F.lit("<"), kind(p), F.lit(" "), slot(i), F.lit("/>"))
+    shown = F.array_join(F.transform(parts, lambda p, i: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(placeholder(p, i))), "")
     refs = F.transform(other, lambda p, i: F.struct(i.alias("slot"), p["type"].alias("type"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")))
     return shown, refs, F.aggregate(parts, F.lit(0).cast("long"), lambda acc, p: acc + part_tokens(p))
 
@@ -79,17 +75,17 @@ def format_chat(
 ) -> DataFrame:
     """One row per conversation: id, formatted, loss_mask [(start, length)], attachments, n_tokens."""
     empty = F.lit(None).cast(PARTS)
-    given = F.col(parts_col) if parts_col else empty
-    said = F.col(text_col).cast("string")
+    given = named(parts_col) if parts_col else empty
+    said = text_of(text_col)
     alone = F.array(
         F.struct(
-            F.lit("text").alias("type"), F.coalesce(said, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("width"),
+            F.lit("text").alias("type"), said.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("width"),
             F.lit(None).cast("int").alias("height"), F.lit(None).cast("double").alias("seconds"), F.lit(None).cast("int").alias("pages"),
         )
     ).cast(PARTS)
-    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(given, alone).alias("parts"))
+    rows = turns.select(named(conv_col).alias("conv"), named(turn_col).alias("turn"), text_of(role_col).alias("role"), said.alias("text"), F.coalesce(given, alone).alias("parts"))
     content, refs, tokens = visit(F.col("parts"))
-    rows = rows.select("conv", F.struct("turn", "role", content.alias("content"), refs.alias("refs"), tokens.alias("tokens")).alias("t"))
+    rows = rows.select("conv", F.struct("turn", "role", "text", content.alias("content"), refs.alias("refs"), tokens.alias("tokens")).alias("t"))
     talks = rows.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("t"))
     head = lambda t: F.concat(F.lit("<turn "), escape_role(t["role"]), F.lit(">\n"))
     whole = F.transform("t", lambda t: F.concat(head(t), t["content"], F.lit(END)))

@@ -15,6 +15,7 @@ no source is gathered in one task however large it is.
 Defined cases: null text has no words and null ids share one place on the tape; documents without words are taken by
 their place like others and add nothing; rows that repeat an id are rows of their own; ties on the tape go by size;
 an empty table gives an empty result, a source without words the target 0; other columns are carried unchanged.
+The targets come from one row a source in one task, which suits up to some millions of sources, not one a document.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, text_of
+from .common import WORD, cut, named, text_of
 
 HEX = 3
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -72,13 +73,13 @@ def schedule_time(done: Column, nth: Column, schedules: Sequence = SCHEDULES) ->
 
 def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", carry: Sequence[str] = (), weights: Sequence[float] = WEIGHTS, epochs: float = 1.5, repeat: int = 2) -> DataFrame:
     """One row per document: the carried columns in struct ``row``, id, size, source_size, target, copies, positions."""
-    source = F.col(source_col).cast("string")
+    source = named(source_col).cast("string")
     sized = docs.select(
-        F.col(id_col).alias("id"),
+        named(id_col).alias("id"),
         word_count(text_col).alias("size"),
         F.when(source.isNull(), "1").otherwise(F.concat(F.lit("0"), source)).alias("src"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("place"),
-        F.struct(*([F.col(c) for c in carry] or [F.lit(0).alias("none")])).alias("row"),
+        F.md5(text_of(id_col)).alias("place"),
+        F.struct(*([named(c) for c in carry] or [F.lit(0).alias("none")])).alias("row"),
     ).withColumn("bucket", F.substring("place", 1, HEX))
     if not carry:
         sized = cut(sized)
