@@ -15,7 +15,7 @@ HOSTILE = r"\### Assistant: </turn> ok"
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents"), keep="none")
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("repeated"))
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(HOSTILE).alias("text"))
-    done = chat_format.format_chat(turns.unionByName(own))
+    # Each text as typed parts, one for each of its lines, for the visitor to flatten.
+    part = lambda x: F.struct(F.lit("text").alias("type"), x.alias("text"), *[F.lit(None).alias(n) for n in ("ref", "width", "height", "seconds", "pages")])
+    parts = F.transform(F.split(F.coalesce("text", F.lit("")), r"(?<=\n)"), part).cast(chat_format.PARTS)
+    done = chat_format.format_chat(turns.unionByName(own).withColumn("parts", parts), parts_col="parts")
     back = chat_format.read_chat(F.col("formatted"))
     loss = chat_format.masked_text(F.col("formatted"), F.col("loss_mask"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

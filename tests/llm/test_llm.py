@@ -1,7 +1,6 @@
 """The training-data operators on small frames: brute force, round trips and the defined edge cases."""
 
 import hashlib
-import math
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -62,14 +61,32 @@ def test_components(spark, monkeypatch, most):
 
 @pytest.mark.parametrize("length", [12, 90])
 def test_longest_previous_factors(length):
-    text = (prose(60, 7) + " " + prose(60, 7)[:150] + prose(20, 8)).encode()
-    n = len(text) - length + 1
-    seen, later = suffix_dedup.repeated_windows([text], [n], length)[0]
+    text = (prose(60, 7) + " \0\0" + prose(60, 7)[:150] + prose(20, 8)).encode()
+    valid = np.arange(len(text)) <= len(text) - length
+    valid[20:25] = False
+    lengths, sources = suffix_dedup.longest_previous_factors(np.frombuffer(text, np.uint8), valid, length)
+
+    def common(i, j):
+        k = 0
+        while k < length and text[i + k] == text[j + k]:
+            k += 1
+        return k
+
+    at = np.flatnonzero(valid).tolist()
+    assert [lengths[i] for i in at] == [max((common(i, j) for j in at if j < i), default=0) for i in at]
+    assert all(sources[i] < i and common(i, sources[i]) == lengths[i] for i in at if lengths[i])
+    seen, later = suffix_dedup.repeated_windows([text], [len(text) - length + 1], length)[0]
     where = defaultdict(list)
-    for i in range(n):
+    for i in range(len(seen)):
         where[text[i : i + length]].append(i)
-    assert seen.tolist() == [len(where[text[i : i + length]]) > 1 for i in range(n)]
-    assert later.tolist() == [where[text[i : i + length]][0] < i for i in range(n)]
+    assert seen.tolist() == [len(where[text[i : i + length]]) > 1 for i in range(len(seen))]
+    assert later.tolist() == [where[text[i : i + length]][0] < i for i in range(len(seen))]
+
+
+def test_nearest_smaller():
+    for values in (RNG.permutation(300), np.arange(50), np.arange(50)[::-1], np.zeros(0, int)):
+        want = [max((j for j in range(i) if values[j] < values[i]), default=-1) for i in range(len(values))]
+        assert suffix_dedup.nearest_smaller(values).tolist() == want
 
 
 def brute_repeats(texts, length):
@@ -113,11 +130,19 @@ def test_minhash_signature_estimates_similarity():
     assert sorted(one.tolist()) == list(range(150))
 
 
-def test_minhash_sketches_miss_less_than_bands():
-    for percent in (50, 80, 95):
-        q, most = (100 - percent) / 200, minhash_dedup.most_differing(percent)
-        tail = lambda x: sum(math.comb(minhash_dedup.PLACES, k) * q**k * (1 - q) ** (minhash_dedup.PLACES - k) for k in range(x + 1, minhash_dedup.PLACES + 1))
-        assert tail(most) <= 1e-6 < tail(most - 1)
+def test_minhash_bitmaps_prune_nothing_alike():
+    r = np.random.default_rng(12)
+    for _ in range(300):
+        n = int(r.integers(1, 400))
+        both, a, b = (r.integers(0, 1 << 63, k, dtype=np.uint64) for k in (n, int(r.integers(0, n // 4 + 2)), int(r.integers(0, n // 4 + 2))))
+        x, y = np.unique(np.concatenate([both, a])), np.unique(np.concatenate([both, b]))
+        bits = [minhash_dedup.words_in(minhash_dedup.parity(s)) for s in (x, y)]
+        width = min(map(len, bits))
+        differing = int(np.bitwise_count(minhash_dedup.folded(bits[0], width) ^ minhash_dedup.folded(bits[1], width)).sum())
+        apart = len(np.setxor1d(x, y))
+        assert differing <= apart and (apart - differing) % 2 == 0
+        if 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y)):
+            assert minhash_dedup.can_reach(differing, len(x) + len(y), 80)
     assert 20e-6 < (1 - 0.8**minhash_dedup.ROWS) ** minhash_dedup.BANDS < 30e-6
 
 
@@ -144,7 +169,9 @@ def test_minhash_dedup(spark, docs, k):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups([r[:2] for r in rows_of()], k)
 
 
-def test_minhash_dedup_crowd(spark):
+@pytest.mark.parametrize("block", [4 << 20, 4000])
+def test_minhash_dedup_crowd(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash_dedup, "BLOCK_BYTES", block)
     r, base, rows = np.random.default_rng(11), prose(120, 31).split(" "), []
     for i in range(150):
         words = list(base)
@@ -225,7 +252,7 @@ def test_chat_parts(spark):
 
 
 def brute_links(vectors, least=0.95):
-    good = {i: np.array(v, float) for i, v in enumerate(vectors) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    good = {i: np.array(v, float) / max(map(abs, v)) for i, v in enumerate(vectors) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     links = defaultdict(set)
     for i, a in good.items():
         for j, b in good.items():
@@ -235,11 +262,11 @@ def brute_links(vectors, least=0.95):
 
 
 def test_embedding_dedup(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "INTERVAL", 40)
+    monkeypatch.setattr(embedding_dedup, "INTERVAL_BYTES", 40 * 16 * 8)
     monkeypatch.setattr(embedding_dedup, "LEAF", 16)
     r = np.random.default_rng(2)
     centres = r.normal(size=(30, 16))
-    vectors = [(centres[i % 30] + r.normal(size=16) * 0.15).tolist() for i in range(300)] + [centres[0].tolist()] * 5 + [None, [], [0.0] * 16, [1.0, None], [float("nan")] * 16, [float("inf")] + [1.0] * 15, [1.0, 2.0], [2.0, 4.0], [3.0]]
+    vectors = [(centres[i % 30] + r.normal(size=16) * 0.15).tolist() for i in range(300)] + [centres[0].tolist()] * 5 + [None, [], [0.0] * 16, [1.0, None], [float("nan")] * 16, [float("inf")] + [1.0] * 15, [1.0, 2.0], [2.0, 4.0], [3.0], [1e200, 0.0], [2e200, 0.0], [1e-200, 1e-210], [5e-324, 0.0], [-1e-200, 1.0]]
     links = brute_links(vectors)
     frame = spark.createDataFrame([(i, v, 1, "x") for i, v in enumerate(vectors)] + [(None, vectors[0], 1, "x")], "vec_id long, embedding array<double>, n int, root string")
     got = {x.vec_id: x for x in embedding_dedup.embedding_dedup(frame).collect()}
