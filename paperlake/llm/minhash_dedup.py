@@ -311,7 +311,8 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     """One row per document: id, n_shingles, component_id, kept."""
     signed = cut(signatures(docs, k, id_col, text_col))
     sets = signed.where("same is not null and id is not null")
-    heads = sets.groupBy("same").agg(F.min("id").alias("rep"))
+    # Written first, so that the joins read two plain exchanges and a group of very many equal sets can be split.
+    heads = cut(sets.groupBy("same").agg(F.min("id").alias("rep")))
     # Every document belongs to the smallest id with its set; an id with several texts links what they belong to.
     member = cut(sets.select("id", "same").join(heads, "same").select("id", "rep"))
     reps = cut(sets.join(heads.select(F.col("rep").alias("id"), "same"), ["same", "id"]).dropDuplicates(["same"]).select("id", "n", "bands", "bits"))
