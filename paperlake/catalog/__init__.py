@@ -6,7 +6,7 @@ import importlib
 
 REGISTRY: dict = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("graph_queries", "question_queries", "vector_queries", "result_queries", "analytics_queries", "ingest_queries", "stream_queries")
+MODULES = ("graph_queries", "question_queries", "vector_queries", "result_queries", "analytics_queries", "ingest_queries", "stream_queries", "access_queries")
 
 
 def query(name: str, sql: str | None = None):

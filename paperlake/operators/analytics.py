@@ -270,6 +270,30 @@ def duplicates(df: DataFrame) -> DataFrame:
     return df.groupBy(*df.columns).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 
 
+def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, count, mean, std, min, q25, median, q75, max) of numeric columns, in one pass; quartiles interpolate."""
+    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "q25": lambda c: F.percentile(c, 0.25), "median": F.median, "q75": lambda c: F.percentile(c, 0.75), "max": F.max}
+    one = df.agg(*[F.struct(F.lit(c).alias("column"), *[f(F.col(c)).cast("bigint" if n == "count" else "double").alias(n) for n, f in stats.items()]).alias(c) for c in columns])
+    return one.select(F.explode(F.array(*columns)).alias("x")).select("x.*")
+
+
+def top_of_lists(papers: DataFrame, column: str, k: int) -> DataFrame:
+    """(name, papers, citations): the names in a list column, such as concepts or authors, with most papers, ties by name; a paper counts once a name."""
+    rows = papers.select(F.coalesce("citation_count", F.lit(0)).alias("c"), F.explode(F.array_distinct(column)).alias("name")).where("name is not null")
+    return rows.groupBy("name").agg(F.count("*").alias("papers"), F.sum("c").alias("citations")).orderBy(F.desc("papers"), "name").limit(k)
+
+
+def mean_by_flag(papers: DataFrame, flag: Column) -> DataFrame:
+    """(flag, papers, avg_citations): such as papers with and without open access; unknown counts as false."""
+    return papers.groupBy(F.coalesce(flag, F.lit(False)).alias("flag")).agg(F.count("*").alias("papers"), F.avg(F.coalesce("citation_count", F.lit(0))).alias("avg_citations"))
+
+
+def topic_top(papers: DataFrame, words: str, since: int, k: int = 5) -> DataFrame:
+    """The most cited papers since a year that hold the words in title or abstract, ties by id."""
+    text = F.lower(F.concat_ws("\n", "title", "abstract"))
+    return papers.where((F.col("year") >= since) & F.contains(text, F.lit(words.lower()))).orderBy(F.desc_nulls_last("citation_count"), "paper_id").limit(k)
+
+
 def usage(calls: DataFrame, last: int = 1000) -> DataFrame:
     """calls (ts, call_id, purpose, seconds, tokens, ok): the latest ones by purpose."""
     recent = calls.orderBy(F.desc("ts"), F.desc("call_id")).limit(last)

@@ -115,6 +115,16 @@ def upload_rows(embeddings: DataFrame, papers: DataFrame, dim: int) -> DataFrame
     return e.select(F.col("paper_id").alias("id"), F.substring(F.coalesce("title", F.lit("")), 1, 1000).alias("title"), F.substring(F.coalesce("abstract", F.lit("")), 1, 8000).alias("abstract"), F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), dim)).alias("dense"))
 
 
+def visual_rows(items: DataFrame, kind: str, most: int | None = None) -> DataFrame:
+    """Vector rows of figures or tables (id, paper_id, description, image, text): a figure needs either vector, a table that of its description.
+
+    Descriptions are cut at the length that the kind's collection holds, 2000 for figures and 8000 for tables.
+    """
+    needed = F.col("text").isNotNull() if kind == "table" else F.col("image").isNotNull() | F.col("text").isNotNull()
+    cut = most or {"figure": 2000, "table": 8000}[kind]
+    return items.where(needed).withColumn("description", F.substring(F.coalesce("description", F.lit("")), 1, cut))
+
+
 def enrich_abstracts(papers: DataFrame, found: DataFrame) -> DataFrame:
     """Only empty abstracts are filled; metadata maps merge, citation counts take the larger."""
     f = found.select("id", F.col("abstract").alias("_a"), F.col("metadata").alias("_m"), F.col("cited_by_count").alias("_c"))

@@ -39,6 +39,12 @@ def split(works: DataFrame, within: bool = True) -> Batch:
     )
 
 
+def rejects(works: DataFrame) -> DataFrame:
+    """(id, reason): the works that split leaves out, each for itself; all others are loaded whatever happens to these."""
+    reason = F.when(F.col("id").isNull(), "no id").when(X.full("title").isNull(), "no title")
+    return works.select("id", reason.alias("reason")).where("reason is not null")
+
+
 def upsert(g: Graph, b: Batch, seq: int = 1) -> Graph:
     """The graph with the batch merged in: supplied values win, missing ones stay, edges are sets, unknown cited papers are stubs."""
     new = lambda d, old: d.select(*[c if c in d.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns], F.lit(seq).alias("seq"))

@@ -41,6 +41,17 @@ def write_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss").json(path)
 
 
+def export(df: DataFrame, path: str, formats: Sequence[str] = ("csv", "json")) -> DataFrame:
+    """Write df in several formats below path; (format, files, bytes) of what was written."""
+    spark = df.sparkSession
+    for kind in formats:
+        out = df.write.mode("overwrite")
+        (out.option("header", True).option("escape", '"') if kind == "csv" else out).format(kind).save(f"{path}/{kind}")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load([f"{path}/{kind}" for kind in formats]).select("path", "length")
+    kind = F.element_at(F.split(F.regexp_replace("path", r"/[^/]*$", ""), "/"), -1)
+    return found.groupBy(kind.alias("format")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
 def report_rows(results: DataFrame, cuts: dict[str, int]) -> DataFrame:
     """Columns cut for a report table, bars escaped and line breaks as spaces."""
     return results.select(*[F.replace(F.regexp_replace(F.substring(F.coalesce(F.col(c).cast("string"), F.lit("")), 1, n), r"\s*\n\s*", " "), F.lit("|"), F.lit("\\|")).alias(c) for c, n in cuts.items()])
