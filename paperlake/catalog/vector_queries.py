@@ -81,21 +81,20 @@ sp AS (SELECT b.id AS query_id, d.id, sum(b.w * d.w) AS s FROM b JOIN d USING (t
 
 def term_weights(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    terms = V.terms_of(docs, STOP)
-    vocabulary = V.tfidf_fit(terms, docs.agg(F.count("*").alias("n")))
-    return terms, vocabulary
+    return V.text_index(docs, STOP)
 
 
 @query("tfidf_vocabulary", f"WITH {TFIDF} SELECT term, round(idf, 6) AS idf FROM vocab")
 def tfidf_vocabulary(spark, sf_dir):
-    return term_weights(spark, sf_dir)[1].select("term", F.round("idf", 6).alias("idf"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return V.tfidf_fit(V.terms_of(docs, STOP), docs.agg(F.count("*").alias("n"))).select("term", F.round("idf", 6).alias("idf"))
 
 
 @query("tk_sparse", f"WITH {TFIDF} SELECT query_id, id, round(round(s, 9), 6) AS similarity_score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank FROM sp) WHERE rank <= 10")
 def tk_sparse(spark, sf_dir):
-    terms, vocabulary = term_weights(spark, sf_dir)
+    weights, vocabulary = term_weights(spark, sf_dir)
     asked = V.tfidf(V.terms_of(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), STOP), vocabulary)
-    scored = asked.withColumnRenamed("id", "query_id").withColumnRenamed("w", "qw").join(V.tfidf(terms, vocabulary), "term")
+    scored = asked.withColumnRenamed("id", "query_id").withColumnRenamed("w", "qw").join(weights, "term")
     sums = scored.groupBy("query_id", "id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 9).alias("similarity_score"))
     return rounded(V.best(sums, 10))
 
@@ -114,20 +113,20 @@ def tk_hybrid(spark, sf_dir):
     return rounded(V.best(both, 10))
 
 
-VISUAL = f"""{COS}, fig AS (SELECT query_id, id, label AS paper_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM pairs WHERE id % 2 = 0),
+VISUAL = f"""{COS}, fig AS (SELECT query_id, id, label AS paper_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM pairs),
 im AS (SELECT * FROM fig WHERE r <= 15),
-tx AS (SELECT * FROM (SELECT query_id, id, label AS paper_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s, id DESC) AS r FROM pairs WHERE id % 2 = 0 AND id % 3 = 0) WHERE r <= 15),
+tx AS (SELECT * FROM (SELECT query_id, id, label AS paper_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s, id DESC) AS r FROM pairs) WHERE r <= 15),
 mv AS (SELECT coalesce(im.query_id, tx.query_id) AS query_id, coalesce(im.id, tx.id) AS id, coalesce(im.paper_id, tx.paper_id) AS paper_id, round(coalesce(im.s, 0) * 0.6::DOUBLE + coalesce(-tx.s, 0) * 0.4::DOUBLE, 6) AS similarity_score, CASE WHEN tx.id IS NULL THEN 'image' WHEN im.id IS NULL THEN 'text' ELSE 'hybrid_visual' END AS search_type FROM im FULL JOIN tx ON im.query_id = tx.query_id AND im.id = tx.id)"""
 
 
 def visual_hits(spark, sf_dir):
-    """Image hits are the nearest even vectors, text hits the nearest of every sixth to the opposite query."""
+    """Image hits are the vectors nearest to the query, text hits those nearest to the opposite one."""
     q, c = asked(spark, sf_dir), corpus(spark, sf_dir)
     papers = c.select("id", F.col("label").alias("paper_id"))
-    image = V.dense_topk(q, c.where("id % 2 = 0"), 15).join(papers, "id")
+    image = V.dense_topk(q, c, 15).join(papers, "id")
     other = q.withColumn("vector", F.transform("vector", lambda x: -x))
     # Ties of the opposite order go by the larger id, as an ascending rank has them.
-    text = V.dense_topk(other, c.where("id % 6 = 0").withColumn("id", -F.col("id")), 15).withColumn("id", -F.col("id")).join(papers, "id")
+    text = V.dense_topk(other, c.withColumn("id", -F.col("id")), 15).withColumn("id", -F.col("id")).join(papers, "id")
     return image, text
 
 
