@@ -58,7 +58,7 @@ _ALERT = f"WITH w AS (SELECT event_type AS metric, {_BUCKET.format(w='1 day')} A
 @query("sm_alerts", _ALERT + " SELECT metric, min(start) AS begins, (list(start ORDER BY start))[2] AS fires, max(start) AS ends, count(*) AS windows FROM g GROUP BY metric, run HAVING count(*) >= 2")
 def sm_alerts(spark, sf_dir):
     w = events(spark, sf_dir).groupBy("metric", F.window("ts", "1 day").alias("w")).agg(F.avg("value").alias("value")).select("metric", F.col("w.start").alias("start"), "value")
-    return M.alerts(w, F.col("value") > 50, 2)
+    return M.alerts(w, F.col("value") > 50, 2, 86_400)
 
 
 @query("sm_slow_log", "SELECT event_id, value FROM events WHERE value > 5")
@@ -228,16 +228,7 @@ def fl_cursor_stream(spark, sf_dir):
     from ..sources.cursor import CursorSource
 
     spark.dataSource.register(CursorSource)
-    out = None
-    stream = spark.readStream.format("paged").load().select("id", "cited_by_count")
-    name = "paged_works"
-    q = stream.writeStream.format("memory").queryName(name).start()
-    try:
-        q.processAllAvailable()
-        out = spark.createDataFrame(spark.table(name).collect(), stream.schema)
-    finally:
-        q.stop()
-    return out
+    return run_to_end(spark.readStream.format("paged").load().select("id", "cited_by_count"), paged=True)
 
 
 @query("cp_hybrid_search")

@@ -11,46 +11,65 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import unit
 
-BLOCK = 2048
+#: Bytes of vectors of both sides that go to every task at once; more pairs are cut into blocks.
+BLOCK_BYTES = 64 << 20
 #: Scores this close count as ties, so that the order of summation does not decide.
 TIE = 1e-9
 
 
-def ranks(pairs: DataFrame) -> DataFrame:
-    """pairs (pair, subset, text, image) with t2i and i2t, 1 + the number of strictly better others.
+def _blocks(rows: DataFrame) -> Iterator[tuple]:
+    """The pairs through the driver, a block at a time: names, subsets, texts, images."""
+    held, size = [], 0
 
-    Pairs are cut into blocks of bounded size by a hash; blocks meet two by two, each in one task, and counts are added
-    up, so no task holds more than two blocks however many pairs there are.
-    """
-    n_blocks = max(1, -(-pairs.count() // BLOCK))
-    rows = pairs.select("pair", "subset", unit(F.col("text")).alias("text"), unit(F.col("image")).alias("image"), F.pmod(F.xxhash64("pair"), F.lit(n_blocks)).cast("int").alias("block"))
-    numbers = F.sequence(F.lit(0), F.lit(n_blocks - 1))
-    asked = rows.withColumn("other", F.explode(numbers)).select(F.col("block").alias("block"), "other", F.col("pair").alias("pair"), F.col("text").alias("text"), F.col("image").alias("image"))
-    met = rows.withColumn("first", F.explode(numbers)).select(F.col("first").alias("block"), F.col("block").alias("other"), F.col("text").alias("text"), F.col("image").alias("image"))
-
-    def count(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"pair": [], "t2i": [], "i2t": []})
-        at, ai, bt, bi = (np.stack(x.to_numpy()) for x in (a["text"], a["image"], b["text"], b["image"]))
-        own = (at * ai).sum(1)[:, None] + TIE
-        return pd.DataFrame({"pair": a["pair"], "t2i": (at @ bi.T > own).sum(1), "i2t": (ai @ bt.T > own).sum(1)})
+    def block() -> tuple:
+        return [r["pair"] for r in held], np.array([str(r["subset"]) for r in held]), *(np.array([r[c] for r in held], np.float64) for c in ("text", "image"))
+
+    for r in rows.toLocalIterator(prefetchPartitions=False):
+        held.append(r)
+        size += 8 * (len(r["text"]) + len(r["image"]))
+        if size > BLOCK_BYTES:
+            yield block()
+            held, size = [], 0
+    if held:
+        yield block()
+
+
+def ranks(pairs: DataFrame, within: bool = False) -> DataFrame:
+    """pairs (pair, subset, text, image) with t2i and i2t, 1 + the number of strictly better others, of the same subset if within.
 
+    Blocks of bounded size go to every task, which counts what beats each of their pairs among its own rows; so vectors
+    are read once a block and only counts are shuffled.
+    """
     kind = pairs.schema["pair"].dataType.simpleString()
-    counts = asked.groupBy("block", "other").cogroup(met.groupBy("block", "other")).applyInPandas(count, f"pair {kind}, t2i long, i2t long")
+    rows = pairs.select("pair", "subset", unit(F.col("text")).alias("text"), unit(F.col("image")).alias("image"))
+    counts = None
+    for block in _blocks(rows):
+        shared = pairs.sparkSession.sparkContext.broadcast(block)
+
+        def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names, subsets, at, ai = shared.value
+            own = (at * ai).sum(1)[:, None] + TIE
+            t2i, i2t = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+            for b in batches:
+                for start in range(0, len(b), 1024):
+                    part = b.iloc[start : start + 1024]
+                    bt, bi = (np.stack(part[c].to_numpy()) for c in ("text", "image"))
+                    among = subsets[:, None] == part["subset"].astype(str).to_numpy()[None, :] if within else True
+                    t2i += ((at @ bi.T > own) & among).sum(1)
+                    i2t += ((ai @ bt.T > own) & among).sum(1)
+            yield pd.DataFrame({"pair": names, "t2i": t2i, "i2t": i2t})
+
+        part = rows.mapInPandas(count, f"pair {kind}, t2i long, i2t long")
+        counts = part if counts is None else counts.unionByName(part)
+    if counts is None:
+        return pairs.select("pair", "subset", F.lit(1).cast("long").alias("t2i"), F.lit(1).cast("long").alias("i2t"))
     sums = counts.groupBy("pair").agg((1 + F.sum("t2i")).alias("t2i"), (1 + F.sum("i2t")).alias("i2t"))
     return pairs.select("pair", "subset").join(sums, "pair")
 
 
 def benchmark(pairs: DataFrame, within: bool = False) -> DataFrame:
     """MRR and Recall@1, 5, 10 of both directions for all pairs and each subset; within ranks a subset in its own pool."""
-    r = ranks(pairs) if not within else None
-    if within:
-        own = pairs.alias("a").join(pairs.alias("b"), F.col("a.subset") == F.col("b.subset"))
-        from ..functions.vectors import dot
-
-        s = lambda x, y: dot(unit(F.col(x)), unit(F.col(y)))
-        better = lambda x, y: F.count_if(s(x, y) > s("a.text", "a.image") + TIE)
-        r = own.groupBy(F.col("a.pair").alias("pair"), F.col("a.subset").alias("subset")).agg((1 + better("a.text", "b.image")).alias("t2i"), (1 + better("b.text", "a.image")).alias("i2t"))
+    r = ranks(pairs, within)
     metrics = []
     for d in ("t2i", "i2t"):
         metrics += [F.avg(1 / F.col(d)).alias(f"{d}_mrr"), *[F.avg((F.col(d) <= k).cast("double")).alias(f"{d}_r{k}") for k in (1, 5, 10)]]

@@ -19,10 +19,28 @@ def has_specific(e: Column) -> Column:
     return (F.size(e["paper_ids"]) > 0) | (F.size(e["author_names"]) > 0) | e["venue"].isNotNull() | e["institution"].isNotNull() | e["year"].isNotNull() | e["year_from"].isNotNull()
 
 
+def holding(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(id, w): the texts (id, t) that hold each word (w) anywhere, also inside other words.
+
+    A word without blanks lies inside one token of the text. Distinct tokens meet the words by a hash join on three
+    letters, the word's first ones, and only those few that pass are tested; texts are found by their tokens. Words
+    with blanks or of fewer letters are rare and test the texts themselves.
+    """
+    low = words.withColumn("low", F.lower("w"))
+    plain = F.col("low").rlike(r"^\S{3,}$")
+    tokens = kept(texts.select("id", F.explode(F.array_distinct(F.split("t", r"\s+"))).alias("token")).where("length(token) >= 3"))
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - 2), lambda i: F.substring(F.col("token"), i, F.lit(3))))
+    grams = tokens.select("token").distinct().select("token", F.explode(starts).alias("gram"))
+    found = grams.join(low.where(plain).withColumn("gram", F.substring("low", 1, 3)), "gram").where(F.contains("token", "low")).select("token", "w")
+    by_token = tokens.join(found, "token").select("id", "w").distinct()
+    others = texts.join(low.where(~plain), F.contains("t", "low")).select("id", "w")
+    return by_token.unionByName(others)
+
+
 def graph_candidates(g: Graph, asked: DataFrame) -> DataFrame:
     """(query_id, id): papers that fit any entity of each question (query_id, entities).
 
-    Names meet the small node tables, not the papers; only keywords and years test every paper, against the questions.
+    Names meet the small node tables, not the papers; keywords meet the papers' distinct tokens; only years test every paper.
     """
     e = F.col("entities")
     part = lambda field, name: asked.select("query_id", F.explode(e[field]).alias(name))
@@ -34,8 +52,7 @@ def graph_candidates(g: Graph, asked: DataFrame) -> DataFrame:
         by.append(names.join(node, named).select("query_id", F.col("id").alias(key)).join(edge, key).select("query_id", F.col("paper_id").alias("id")))
     words = part("keywords", "w")
     text = F.lower(F.concat_ws("\n", "title", "abstract"))
-    held = g.papers.select("id", text.alias("t")).join(words.select("w").distinct(), F.contains("t", F.lower("w"))).select("id", "w")
-    by.append(held.join(words, "w").select("query_id", "id"))
+    by.append(holding(g.papers.select("id", text.alias("t")), words.select("w").distinct()).join(words, "w").select("query_id", "id"))
     years = asked.where(e["year"].isNotNull() | e["year_from"].isNotNull()).select("query_id", e["year"].alias("y"), e["year_from"].alias("lo"), e["year_to"].alias("hi"))
     fit = F.startswith("publication_date", "y") | ((F.col("publication_date") >= F.col("lo")) & (F.col("publication_date") < F.col("hi")))
     by.append(g.papers.select("id", "publication_date").join(years, fit).select("query_id", "id"))
@@ -81,11 +98,8 @@ def author_venues(g: Graph, asked: DataFrame, k: int, titles: int = 3) -> DataFr
 
 
 def text_index(g: Graph) -> tuple[DataFrame, DataFrame]:
-    """(term weights (id, term, w), vocabulary) of the papers' titles and abstracts."""
-    texts = g.papers.select("id", F.concat_ws(" ", "title", "abstract").alias("text"))
-    terms = V.terms_of(texts, STOP)
-    vocabulary = V.tfidf_fit(terms, texts.agg(F.count("*").alias("n")))
-    return V.tfidf(terms, vocabulary), vocabulary
+    """(term weights (id, term, w), vocabulary) of the papers' titles and abstracts; build it once for many batches of questions."""
+    return V.text_index(g.papers.select("id", F.concat_ws(" ", "title", "abstract").alias("text")), STOP)
 
 
 def keyword_search(asked: DataFrame, index: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:

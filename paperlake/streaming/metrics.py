@@ -44,29 +44,35 @@ def hit_rate(events: DataFrame, width: str, hit) -> DataFrame:
     return events.groupBy(F.window("ts", width).alias("w"), "metric").agg((F.count_if(hit) / F.greatest(F.lit(1), F.count("*")) * 100).alias("hit_rate")).select("metric", F.col("w.start").alias("start"), "hit_rate")
 
 
-def alerts(windows: DataFrame, breached, hold: int) -> DataFrame:
-    """windows (metric, start, ...): runs of at least ``hold`` neighbouring rows in which the condition holds, with when they begin, fire and end."""
+def alerts(windows: DataFrame, breached, hold: int, width: float) -> DataFrame:
+    """windows (metric, start, ...) of ``width`` seconds: runs of at least ``hold`` windows, each beginning where the last one ends,
+    in which the condition holds, with when they begin, fire and end. A missing window ends a run."""
     w = Window.partitionBy("metric").orderBy("start")
-    rows = windows.withColumn("_bad", F.coalesce(breached, F.lit(False))).withColumn("_n", F.row_number().over(w))
-    runs = rows.where("_bad").withColumn("_run", F.col("_n") - F.row_number().over(w))
+    bad = windows.where(F.coalesce(breached, F.lit(False)))
+    runs = bad.withColumn("_run", F.round(F.unix_micros(F.col("start").cast("timestamp")) / F.lit(width * 1e6)).cast("long") - F.row_number().over(w))
     got = runs.groupBy("metric", "_run").agg(F.count("*").alias("windows"), F.min("start").alias("begins"), F.max("start").alias("ends"), F.array_sort(F.collect_list("start")).alias("_s"))
     return got.where(F.col("windows") >= hold).select("metric", "begins", F.get("_s", F.lit(hold - 1)).alias("fires"), "ends", "windows")
 
 
-def alerts_stream(windows: DataFrame, threshold: float, hold: int) -> DataFrame:
-    """(metric, start) of firing windows on a stream of (metric, start, value) in order of start: a counter of bad windows a metric."""
+def alerts_stream(windows: DataFrame, threshold: float, hold: int, width: float) -> DataFrame:
+    """(metric, start) of firing windows on a stream of (metric, start, value) in order of start: a counter of bad windows a metric.
+
+    A run goes on only in the window of ``width`` seconds that follows its last one.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        run = state.get[0] if state.exists else 0
+        run, last = state.get if state.exists else (0, 0.0)
         fired = []
         for row in pd.concat(batches).sort_values("start").itertuples():
-            run = run + 1 if row.value > threshold else 0
+            now = row.start.timestamp()
+            run = ((run if now - last <= width else 0) + 1) if row.value > threshold else 0
+            last = now
             if run == hold:
                 fired.append(row.start)
-        state.update((run,))
+        state.update((run, last))
         yield pd.DataFrame({"metric": [key[0]] * len(fired), "start": pd.to_datetime(fired)})
 
-    return windows.groupBy("metric").applyInPandasWithState(step, "metric string, start timestamp", "run int", "append", "NoTimeout")
+    return windows.groupBy("metric").applyInPandasWithState(step, "metric string, start timestamp", "run int, last double", "append", "NoTimeout")
 
 
 def exposition(events: DataFrame) -> DataFrame:

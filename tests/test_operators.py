@@ -230,7 +230,7 @@ def test_request_parameters():
 
 
 def test_crossmodal_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(crossmodal, "BLOCK", 16)
+    monkeypatch.setattr(crossmodal, "BLOCK_BYTES", 1000)
     rng = np.random.default_rng(3)
     t, i = rng.normal(size=(2, 50, 6))
     pairs = spark.createDataFrame([(k, "ab"[k % 2], t[k].tolist(), i[k].tolist()) for k in range(50)], "pair int, subset string, text array<double>, image array<double>")
@@ -239,6 +239,10 @@ def test_crossmodal_equals_brute_force(spark, monkeypatch):
     want = {k: (1 + int((s[k] > s[k, k] + 1e-9).sum()), 1 + int((s[:, k] > s[k, k] + 1e-9).sum())) for k in range(50)}
     assert {r.pair: (r.t2i, r.i2t) for r in crossmodal.ranks(pairs).collect()} == want
     assert {r.subset: r.n for r in crossmodal.benchmark(pairs, within=True).collect()} == {"all": 50, "a": 25, "b": 25}
+    same = lambda k: [j for j in range(50) if j % 2 == k % 2]
+    own = {k: (1 + sum(s[k, j] > s[k, k] + 1e-9 for j in same(k)), 1 + sum(s[j, k] > s[k, k] + 1e-9 for j in same(k))) for k in range(50)}
+    assert {r.pair: (r.t2i, r.i2t) for r in crossmodal.ranks(pairs, within=True).collect()} == own
+    assert crossmodal.ranks(pairs.limit(0)).count() == 0
 
 
 def test_evidence_is_what_the_claims_name(spark, tiny):
@@ -331,10 +335,12 @@ def test_streams_equal_their_batch_twins(spark, sf_dir):
 def test_late_rows_and_alerts(spark, tmp_path):
     rows = [("m", f"2024-01-01 00:0{k}:00", v) for k, v in enumerate([1.0, 9.0, 9.0, 9.0, 1.0, 9.0])]
     w = spark.createDataFrame(rows, "metric string, start string, value double").withColumn("start", F.col("start").cast("timestamp"))
-    got = M.alerts(w, F.col("value") > 5, 2).collect()
+    # The windows of minutes 5 and 7 are not neighbours.
+    w = w.unionByName(w.where("minute(start) = 5").withColumn("start", F.expr("start + interval 2 minutes")))
+    got = M.alerts(w, F.col("value") > 5, 2, 60).collect()
     assert [(r.windows, r.begins.minute, r.fires.minute, r.ends.minute) for r in got] == [(3, 1, 2, 3)]
     w.coalesce(1).write.parquet(str(tmp_path / "w"))
-    fired = run_to_end(M.alerts_stream(spark.readStream.schema(w.schema).parquet(str(tmp_path / "w")), 5.0, 2)).collect()
+    fired = run_to_end(M.alerts_stream(spark.readStream.schema(w.schema).parquet(str(tmp_path / "w")), 5.0, 2, 60)).collect()
     assert [(r.metric, r.start.minute) for r in fired] == [("m", 2)]
 
 
@@ -398,3 +404,89 @@ def test_models(spark):
     d = spark.createDataFrame([("ab",), (None,), ("abc",)], "t string")
     assert sorted(str(r.v) for r in d.select(models.embedded(F.col("t"), Lengths).alias("v")).collect()) == ["None", "[2.0]", "[3.0]"]
     assert d.where("t is not null").select(models.reranked(F.lit("q"), F.col("t"), Lengths).alias("s")).agg(F.max("s")).first()[0] == 0.3
+
+
+def test_sql_editing():
+    from paperlake.plans.graph_sql import alias_of, refine, with_conditions, with_limit
+
+    inner = "SELECT 1 FROM z WHERE q LIMIT 2"
+    raw = f"SELECT * FROM papers AS w WHERE a = 'LIMIT 9 -- x' OR b IN ({inner}) ORDER BY 1"
+    assert with_limit(raw + ";", 4) == raw + "\nLIMIT 4"
+    assert with_limit("SELECT 1 LIMIT :k OFFSET 2", 4) == "SELECT 1 LIMIT 4 OFFSET 2"
+    assert with_limit("SELECT 1 OFFSET 2", 4) == "SELECT 1 LIMIT 4 OFFSET 2"
+    assert with_conditions(raw, ["c", "d"]) == f"SELECT * FROM papers AS w WHERE (a = 'LIMIT 9 -- x' OR b IN ({inner})) AND (c) AND (d) ORDER BY 1"
+    assert with_conditions("SELECT * FROM papers GROUP BY x", ["c", "d"], any_of=True) == "SELECT * FROM papers WHERE (c) OR (d) GROUP BY x"
+    assert alias_of(raw) == "w" and alias_of("SELECT * FROM papers WHERE x") == "papers" and alias_of("SELECT 1") is None
+    assert "keywords" not in refine(raw, {"paper_ids": ["W1"], "keywords": ["x"]})[0]
+    assert refine(raw, {"keywords": list("abcdefg")})[1]["keywords"] == list("abcde")
+    with pytest.raises(ValueError):
+        with_conditions("SELECT 1 UNION SELECT 2", ["x"])
+
+
+def test_requests_are_repeated():
+    from paperlake.sources.lookup import TooManyRequests, patiently
+
+    waits, left = [], [TooManyRequests(), TooManyRequests()]
+
+    def ask():
+        if left:
+            raise left.pop()
+        return "answer"
+
+    assert patiently(ask, wait=waits.append) == "answer" and waits == [1, 2]
+
+    def never():
+        raise TooManyRequests
+
+    assert patiently(never, attempts=6, wait=waits.append) is None and waits[2:] == [1, 2, 4, 8, 10, 10]
+
+
+def test_cache_equals_a_plain_one(spark, tmp_path):
+    from paperlake.streaming import cache
+
+    r = np.random.default_rng(6)
+    rows = [(i, f"2024-01-01 {i // 60:02}:{i % 60:02}:00", f"k{int(r.integers(0, 9))}") for i in range(300)]
+    asked = spark.createDataFrame([*rows, (999, rows[0][1], None)], "request_id long, ts string, key string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {x.request_id: (x.hit, x.expired, x.evicted) for x in cache.cache_answers(asked, 4, 1200.0, shards=1).collect()}
+    held, used, want = {}, {}, {}
+    for i, _, k in rows:
+        now = i * 60
+        hit = k in held and now - held[k] < 1200
+        expired = k in held and not hit
+        gone = None
+        if expired:
+            del held[k]
+        if not hit:
+            if len(held) >= 4:
+                gone = min(held, key=used.get)
+                del held[gone]
+            held[k] = now
+        used[k] = i
+        want[i] = (hit, expired, gone)
+    assert got == want
+    asked.coalesce(1).write.parquet(str(tmp_path / "asked"))
+    stream = cache.cache_stream(spark.readStream.schema(asked.schema).parquet(str(tmp_path / "asked")), 4, 1200.0, shards=1)
+    assert {x.request_id: (x.hit, x.expired, x.evicted) for x in run_to_end(stream).collect()} == want
+    s = cache.cache_statistics(cache.cache_answers(asked, 4, 1200.0, shards=3)).first()
+    assert s.requests == 300 == s.hits + s.misses
+
+
+def test_keywords_inside_words(spark):
+    texts = ["graph search\nof graphs", "paragraph", "ab cd", "x ab", None, "GRAPHS", "über"]
+    words = ["graph", "raph", "ab", "b c", "über", "zzz"]
+    t = spark.createDataFrame(list(enumerate(x and x.lower() for x in texts)), "id int, t string")
+    got = {(x.id, x.w) for x in hybrid.holding(t, spark.createDataFrame([(w,) for w in words], "w string")).collect()}
+    assert got == {(i, w) for i, x in enumerate(texts) if x for w in words if w.lower() in x.lower()}
+
+
+def test_shared_folder_is_asked_for(spark, monkeypatch):
+    from paperlake.sources import scratch
+
+    assert scratch.folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+    class Elsewhere:
+        sparkContext = type("C", (), {"master": "yarn", "applicationId": "a"})
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+
+    with pytest.raises(RuntimeError):
+        scratch.folder(Elsewhere)
