@@ -296,6 +296,8 @@ def count_windows(texts: DataFrame, length: int) -> DataFrame:
     once = texts.dropDuplicates(["anchor", "ctx"])
     windows = cut(once.mapInArrow(run, "anchor long, ctx long, k1 long, k2 long, w1 long, w2 long, place int, at int"))
     many = windows.groupBy("w1", "w2").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "place")).alias("first")).where("times > 1").drop("times")
+    # Written first, so that the join reads two plain exchanges and a hot window can be split.
+    many = cut(many)
     later = F.struct("k1", "k2", "place") != F.col("first")
     hit = windows.join(many, ["w1", "w2"]).groupBy("anchor", "ctx").agg(F.collect_list(F.struct("at", later.alias("later"))).alias("at"))
 
