@@ -19,8 +19,19 @@ def has_specific(e: Column) -> Column:
     return (F.size(e["paper_ids"]) > 0) | (F.size(e["author_names"]) > 0) | e["venue"].isNotNull() | e["institution"].isNotNull() | e["year"].isNotNull() | e["year_from"].isNotNull()
 
 
-def holding(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """(id, w): the texts (id, t) that hold each word (w) anywhere, also inside other words.
+def most_cited(rows: DataFrame, by: str, k: int | None) -> DataFrame:
+    """The k most cited papers of each value of ``by``, in the templates' order; rows have id and cited. k = None keeps all.
+
+    Spark cuts every task's rows to k a value before they move, so that a value that fits most papers gathers nowhere.
+    """
+    if k is None:
+        return rows
+    w = Window.partitionBy(by).orderBy(F.desc_nulls_first("cited"), "id")
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+
+
+def holding(texts: DataFrame, words: DataFrame, k: int | None = None) -> DataFrame:
+    """(w, id, cited): the texts (id, t, cited) that hold each word (w) anywhere, also inside other words; with k, a word's most cited.
 
     A word without blanks lies inside one token of the text. Distinct tokens meet the words by a hash join on three
     letters, the word's first ones, and only those few that pass are tested; texts are found by their tokens. Words
@@ -28,45 +39,57 @@ def holding(texts: DataFrame, words: DataFrame) -> DataFrame:
     """
     low = words.withColumn("low", F.lower("w"))
     plain = F.col("low").rlike(r"^\S{3,}$")
-    tokens = kept(texts.select("id", F.explode(F.array_distinct(F.split("t", r"\s+"))).alias("token")).where("length(token) >= 3"))
+    every = texts.select("id", "cited", F.explode(F.array_distinct(F.split("t", r"\s+"))).alias("token")).where("length(token) >= 3")
+    tokens = kept(most_cited(every, "token", k))
     starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - 2), lambda i: F.substring(F.col("token"), i, F.lit(3))))
     grams = tokens.select("token").distinct().select("token", F.explode(starts).alias("gram"))
     found = grams.join(low.where(plain).withColumn("gram", F.substring("low", 1, 3)), "gram").where(F.contains("token", "low")).select("token", "w")
-    by_token = tokens.join(found, "token").select("id", "w").distinct()
-    others = texts.join(low.where(~plain), F.contains("t", "low")).select("id", "w")
-    return by_token.unionByName(others)
+    by_token = tokens.join(found, "token").select("w", "id", "cited").distinct()
+    others = texts.join(low.where(~plain), F.contains("t", "low")).select("w", "id", "cited")
+    return most_cited(by_token.unionByName(others), "w", k)
 
 
-def graph_candidates(g: Graph, asked: DataFrame) -> DataFrame:
-    """(query_id, id): papers that fit any entity of each question (query_id, entities).
+def graph_candidates(g: Graph, asked: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, id): papers that fit any entity of each question (query_id, entities); with k, its k most cited ones.
 
     Names meet the small node tables, not the papers; keywords meet the papers' distinct tokens; only years test every paper.
+    A paper among the k most cited of a question is so among those of the entity, node and token that it was found by. Each
+    is therefore cut to k first, and the pairs grow with the distinct entities, not with questions times papers.
     """
     e = F.col("entities")
-    part = lambda field, name: asked.select("query_id", F.explode(e[field]).alias(name))
+    part = lambda field, name: asked.select("query_id", F.explode(e[field]).alias(name)).distinct()
     one = lambda field, name: asked.where(e[field].isNotNull()).select("query_id", e[field].alias(name))
+    papers = g.papers.select("id", F.col("cited_by_count").alias("cited"))
+    by = [part("paper_ids", "id").join(papers, "id").select("query_id", "id", "cited")]
     named = F.contains(F.lower("name"), F.lower("wanted"))
-    ids = part("paper_ids", "id").join(g.papers.select("id"), "id", "left_semi")
-    by = []
     for names, node, edge, key in ((part("author_names", "wanted"), g.authors, g.authored, "author_id"), (one("venue", "wanted"), g.venues, g.published_in, "venue_id"), (one("institution", "wanted"), g.institutions, g.associated_with, "inst_id")):
-        by.append(names.join(node, named).select("query_id", F.col("id").alias(key)).join(edge, key).select("query_id", F.col("paper_id").alias("id")))
+        nodes = names.select("wanted").distinct().join(node, named).select("wanted", F.col("id").alias(key))
+        of_node = edge.join(nodes.select(key).distinct(), key, "left_semi").select(key, F.col("paper_id").alias("id")).join(papers, "id")
+        hits = nodes.join(most_cited(of_node, key, k), key).select("wanted", "id", "cited").distinct()
+        by.append(names.join(most_cited(hits, "wanted", k), "wanted").select("query_id", "id", "cited"))
     words = part("keywords", "w")
     text = F.lower(F.concat_ws("\n", "title", "abstract"))
-    by.append(holding(g.papers.select("id", text.alias("t")), words.select("w").distinct()).join(words, "w").select("query_id", "id"))
-    years = asked.where(e["year"].isNotNull() | e["year_from"].isNotNull()).select("query_id", e["year"].alias("y"), e["year_from"].alias("lo"), e["year_to"].alias("hi"))
-    fit = F.startswith("publication_date", "y") | ((F.col("publication_date") >= F.col("lo")) & (F.col("publication_date") < F.col("hi")))
-    by.append(g.papers.select("id", "publication_date").join(years, fit).select("query_id", "id"))
-    out = ids.select("query_id", "id")
-    for d in by:
+    texts = g.papers.select("id", text.alias("t"), F.col("cited_by_count").alias("cited"))
+    by.append(holding(texts, words.select("w").distinct(), k).join(words, "w").select("query_id", "id", "cited"))
+    years = asked.where(e["year"].isNotNull() | e["year_from"].isNotNull()).select("query_id", F.struct(e["year"].alias("y"), e["year_from"].alias("lo"), e["year_to"].alias("hi")).alias("years"))
+    date, span = F.col("publication_date"), F.col("years")
+    fit = F.startswith(date, span["y"]) | ((date >= span["lo"]) & (date < span["hi"]))
+    dated = g.papers.select("id", "publication_date", F.col("cited_by_count").alias("cited"))
+    in_years = most_cited(dated.join(years.select("years").distinct(), fit).select("years", "id", "cited"), "years", k)
+    # Compared as text, since the parts may be null and nulls are not equal.
+    by.append(years.withColumn("key", F.to_json("years")).join(in_years.withColumn("key", F.to_json("years")).drop("years"), "key").select("query_id", "id", "cited"))
+    out = by[0]
+    for d in by[1:]:
         out = out.unionByName(d)
-    return out.distinct()
+    return most_cited(out.distinct(), "query_id", k).select("query_id", "id")
 
 
-def citation_ends(g: Graph, asked: DataFrame) -> DataFrame:
-    """(query_id, id): the papers at both ends of every citation that touches an id of each question (query_id, entities)."""
+def citation_ends(g: Graph, asked: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, id): the papers at both ends of every citation that touches an id of each question (query_id, entities); with k, its most cited."""
     wanted = asked.select("query_id", F.explode("entities.paper_ids").alias("wanted")).distinct()
     hits = [g.cites.join(wanted, F.col(end) == F.col("wanted")).select("query_id", F.explode(F.array("src_id", "dst_id")).alias("id")) for end in ("src_id", "dst_id")]
-    return hits[0].unionByName(hits[1]).distinct().join(g.papers.select("id"), "id", "left_semi").select("query_id", "id")
+    ends = hits[0].unionByName(hits[1]).distinct().join(g.papers.select("id", F.col("cited_by_count").alias("cited")), "id")
+    return most_cited(ends, "query_id", k).select("query_id", "id")
 
 
 def named_authors(g: Graph, asked: DataFrame) -> DataFrame:
@@ -115,15 +138,16 @@ def hybrid(g: Graph, questions: DataFrame, k: int = 10, index: tuple[DataFrame,
     """(query_id, rank, paper_id, ..., score, strategy): the ranked rows of each question that passes the guardrails.
 
     graph_only questions run their template: both ends of the citations of the requested ids, the co-authors or the venues
-    of the named authors, or the papers of any entity, with the most cited ones if those are asked for. Papers are ranked
-    by relevance; co-authors and venues have no paper_id and score and are ranked by their counts. Questions without a
-    row fall back to the vector search; vector_first questions take the vector search's papers. Requested ids come first.
+    of the named authors, or the papers of any entity, with the most cited ones if those are asked for. As in the templates
+    themselves, a question's k most cited papers are its result; these are ranked by relevance. Co-authors and venues have no
+    paper_id and score and are ranked by their counts. Questions without a row fall back to the vector search; vector_first
+    questions take the vector search's papers. Requested ids come first.
     """
     asked = kept(Q.analyzed(questions).where("status = 'ok'").select("query_id", "clean", "entities", "template", "strategy"))
     weights, vocabulary = index or text_index(g)
     structured = asked.where("strategy = 'graph_only'")
     of = lambda template: structured.where(F.col("template") == template)
-    pairs = graph_candidates(g, structured.where("template in ('search_papers', 'top_cited_papers')")).unionByName(citation_ends(g, of("search_citations")))
+    pairs = graph_candidates(g, structured.where("template in ('search_papers', 'top_cited_papers')"), k).unionByName(citation_ends(g, of("search_citations"), k))
     # The most cited papers answer the question for them, which names nothing to match.
     top = g.papers.orderBy(F.desc_nulls_first("cited_by_count"), "id").limit(k).select("id")
     pairs = pairs.unionByName(of("top_cited_papers").select("query_id").crossJoin(F.broadcast(top))).distinct()
@@ -131,11 +155,11 @@ def hybrid(g: Graph, questions: DataFrame, k: int = 10, index: tuple[DataFrame,
     rows = pairs.join(G.enrich(g, g.papers.join(pairs.select("id").distinct(), "id", "left_semi"), few=True).withColumnRenamed("paper_id", "id"), "id").withColumnRenamed("id", "paper_id")
     scored = R.relevance(rows.join(asked.select("query_id", "entities"), "query_id")).withColumn("score", F.col("relevance"))
     found = kept(scored.select("query_id", "paper_id", "score", F.lit("graph").alias("origin")))
-    vector = keyword_search(asked, weights, vocabulary, k).select("query_id", F.col("id").alias("paper_id"), F.col("similarity_score").alias("score"), F.lit("vector").alias("origin"))
     stats = kept(coauthors(g, of("coauthor_network"), k).unionByName(author_venues(g, of("author_venue_stats"), k), allowMissingColumns=True).withColumn("origin", F.lit("graph")))
     # A question without a graph result is answered by the vector search.
     answered = found.select("query_id").unionByName(stats.select("query_id")).distinct()
-    both = found.unionByName(vector.join(answered, "query_id", "left_anti"))
+    vector = keyword_search(asked.join(answered, "query_id", "left_anti"), weights, vocabulary, k)
+    both = found.unionByName(vector.select("query_id", F.col("id").alias("paper_id"), F.col("similarity_score").alias("score"), F.lit("vector").alias("origin")))
     wanted = asked.select("query_id", F.explode("entities.paper_ids").alias("paper_id")).distinct().withColumn("asked", F.lit(True))
     both = R.boost(both.join(wanted, ["query_id", "paper_id"], "left"), F.coalesce("asked", F.lit(False)), "score", 1000.0)
     best = V.best(both.select("query_id", F.col("paper_id").alias("id"), "score", "origin"), k, score="score").withColumnRenamed("id", "paper_id")

@@ -474,9 +474,32 @@ def test_cache_equals_a_plain_one(spark, tmp_path):
 def test_keywords_inside_words(spark):
     texts = ["graph search\nof graphs", "paragraph", "ab cd", "x ab", None, "GRAPHS", "über"]
     words = ["graph", "raph", "ab", "b c", "über", "zzz"]
-    t = spark.createDataFrame(list(enumerate(x and x.lower() for x in texts)), "id int, t string")
-    got = {(x.id, x.w) for x in hybrid.holding(t, spark.createDataFrame([(w,) for w in words], "w string")).collect()}
+    t = spark.createDataFrame([(i, x and x.lower(), i % 3 or None) for i, x in enumerate(texts)], "id int, t string, cited int")
+    words_df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = {(x.id, x.w) for x in hybrid.holding(t, words_df).collect()}
     assert got == {(i, w) for i, x in enumerate(texts) if x for w in words if w.lower() in x.lower()}
+    best = {(x.id, x.w) for x in hybrid.holding(t, words_df, 1).collect()}
+    assert best == {(min((i for i, v in got if v == w), key=lambda i: (i % 3 != 0, -(i % 3), i)), w) for _, w in got}
+
+
+def test_most_cited_candidates(spark, sf_dir):
+    """Cutting entities, nodes and tokens to k first leaves each question's k most cited papers of all that fit, with null counts and ties."""
+    g = star_graph(spark, sf_dir)
+    g = replace(g, papers=g.papers.withColumn("cited_by_count", F.when(F.col("cited_by_count") % 7 != 0, F.col("cited_by_count") % 5)))
+    kinds = "paper_ids:array<string>,author_names:array<string>,keywords:array<string>,year:string,year_from:string,year_to:string,venue:string,institution:string"
+    some = [(["W7", "W33", "W7", "none"], [], ["Urgent"], None, None, None, None, None), ([], [], [], None, "1995", "1997", "NATION_1", None), ([], ["00000003", "0000"], [], "1996", None, None, None, "#12"),
+            ([], [], ["der", "1-urgent\nstatus", "ab", "status", "zzzz"], None, None, None, None, None), ([], [], [], None, None, None, None, None), ([], [], [], "1996", None, None, None, None)]
+    asked = spark.createDataFrame(list(enumerate(some)), f"query_id int, entities struct<{kinds}>")
+    cited = {r.id: r.cited_by_count for r in g.papers.collect()}
+    order = lambda i: (cited[i] is not None, -(cited[i] or 0), i)
+    every = {}
+    for q, i in hybrid.graph_candidates(g, asked).collect():
+        every.setdefault(q, set()).add(i)
+    for k in (1, 6):
+        got = {}
+        for q, i in hybrid.graph_candidates(g, asked, k).collect():
+            got.setdefault(q, []).append(i)
+        assert {q: sorted(v, key=order) for q, v in got.items()} == {q: sorted(v, key=order)[:k] for q, v in every.items()}
 
 
 def test_shared_folder_is_asked_for(spark, monkeypatch):
