@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, embedding_dedup, exact_dedup, line_dedup, minhash_dedup, mixing, suffix_dedup, toxicity, url_filter
+from . import bpe, chat_format, divergence, embedding_dedup, exact_dedup, line_dedup, minhash_dedup, mixing, sharding, suffix_dedup, toxicity, url_filter, vector_codes
 from .common import read
 
 #: The contract's rules: host, path, verdict.
@@ -98,8 +100,31 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = vector_codes.compress(read(spark, sf_dir, "embeddings"))
+    books = hashlib.sha256(done.spelled().encode()).hexdigest()
+    return done.codes.select(F.col("id").alias("vec_id"), vector_codes.hexadecimal(F.col("codes")).alias("code"), "error", "label_error", F.lit(books).alias("codebooks_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return sharding.shard(read(spark, sf_dir, "documents")).select(
+        "row.doc_id", "size", F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+ALL = (
+    op1_suffix_dedup, op2_minhash_dedup, op3_bpe, op4_url_filters, op5_chat_formatting, op6_embedding_dedup, op7_toxicity, op8_source_mixing, op9_exact_dedup, op10_line_dedup,
+    op11_vector_codes, op12_source_divergence, op13_sharding,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_minhash_dedup, op3_bpe, op4_url_filters, op5_chat_formatting, op6_embedding_dedup, op7_toxicity, op8_source_mixing, op9_exact_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in ALL}
 
 
 _OP4 = """
@@ -179,5 +204,58 @@ FROM norm JOIN firsts USING (t)
 """
 
 
+def _op11() -> str:
+    """Lloyd's rounds spelled out, a few common table expressions each."""
+    steps = """
+WITH good AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS nth, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+points AS (SELECT nth, vec_id, label, part, len(q) // 4 AS width, q[part * (len(q) // 4) + 1 : (part + 1) * (len(q) // 4)] AS x FROM good, (SELECT unnest(range(4)) AS part)),
+book0 AS (SELECT part, nth AS entry, x AS c FROM points WHERE nth < 256)"""
+    for k in range(5):
+        steps += f""",
+near{k} AS (
+  SELECT nth, part, any_value(x) AS x, any_value(label) AS label, any_value(vec_id) AS vec_id, min((d, entry)) AS best
+  FROM (SELECT nth, p.part, x, label, vec_id, entry, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM points p JOIN book{k} b ON p.part = b.part)
+  GROUP BY nth, part)"""
+        if k < 4:
+            steps += f""",
+sums{k} AS (SELECT part, best[2] AS entry, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM near{k}, (SELECT unnest(range(1, (SELECT max(width) FROM points) + 1)) AS i) GROUP BY ALL),
+moved{k} AS (SELECT part, entry, list((s - ((s % n + n) % n)) // n ORDER BY i) AS c FROM sums{k} GROUP BY ALL),
+book{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN moved{k} m USING (part, entry))"""
+    return (
+        steps
+        + """,
+codes AS (
+  SELECT any_value(vec_id) AS vec_id, any_value(label) AS label, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM near4 GROUP BY nth),
+spelled AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS books FROM book4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, books AS codebooks_sha256 FROM codes, spelled
+"""
+    )
+
+
+_OP12 = r"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+words AS (
+  SELECT d, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY ALL HAVING count(DISTINCT d) >= 30),
+langs AS (SELECT lang, count(*) AS v, CAST(sum(n) AS BIGINT) AS size FROM kept GROUP BY ALL),
+groups AS (
+  SELECT g.lang, g.source, coalesce(s.size, 0) AS size FROM (SELECT DISTINCT lang, source FROM docs) g
+  LEFT JOIN (SELECT c.lang, c.source, CAST(sum(c.n) AS BIGINT) AS size FROM counts c JOIN kept k USING (lang, term) GROUP BY ALL) s USING (lang, source)),
+probs AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (g.size + 5 * l.v) AS p, 1 + (1000000000 * (k.n + 5)) // (l.size + 5 * l.v) AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+apart AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM probs a JOIN probs b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value FROM probs WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": _OP4, "op5_chat_formatting": _OP5, "op6_embedding_dedup": _OP6, "op8_source_mixing": _OP8, "op9_exact_dedup": _OP9}
+    return {"op11_vector_codes": _op11(), "op12_source_divergence": _OP12, "op4_url_filters": _OP4, "op5_chat_formatting": _OP5, "op6_embedding_dedup": _OP6, "op8_source_mixing": _OP8, "op9_exact_dedup": _OP9}
