@@ -17,7 +17,7 @@ so a line whose halves occur nowhere else has none, and one that shares only its
 This loses nothing and keeps the variants in proportion to the near repeats.
 
 Defined cases: ids are integers, others are refused with a ValueError; null text has no lines; rows that repeat an id and a text are the same lines and share a decision; a
-null id sorts before all others; the line that is removed goes with its newline; an empty table gives an empty result;
+null id sorts before all others; the line that is removed goes with its newline; very long texts and lines are compared whole; of lines that tie in id and text all are the same line; an empty table gives an empty result;
 other columns pass through.
 """
 
@@ -156,7 +156,8 @@ def removed_lines(keyed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     place = F.struct("k1", "k2", "line")
     distinct = cut(lines.groupBy("own", "other").agg(F.min(place).alias("at"), F.first("halves").alias("halves")))
     halves = distinct.select("own", "other", F.posexplode("halves").alias("place", "key")).select("own", "other", "key", F.when(F.col("place") % 2 == 0, FIRST).otherwise(LAST).alias("side"))
-    shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # The small sides of these joins are written first, so that a half or a deletion that very many lines share can be split.
+    shared = cut(halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     able = halves.join(shared, "key").groupBy("own", "other").agg(F.bit_or("side").alias("sides"))
     wanted = able.join(distinct.select("own", "other", "at"), ["own", "other"]).select("at.k1", "at.k2", F.struct("at.line", "sides", "own", "other").alias("w"))
     lists = cut(wanted.groupBy("k1", "k2").agg(F.collect_list("w").alias("want")))
@@ -166,7 +167,7 @@ def removed_lines(keyed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     keys = made.select(order.alias("at"), "own", "other", F.explode(F.arrays_zip("keys", "places")).alias("v")).select("at", "own", "other", F.col("v.keys").alias("key"), F.col("v.places").alias("place"))
     keys = cut(keys)
     # Replaced words: the earliest line of each deletion with its place.
-    replaced = keys.where("place >= 0").groupBy("key", "place").agg(F.min("at").alias("mate"), F.count("*").alias("n")).where("n > 1").drop("n")
+    replaced = cut(keys.where("place >= 0").groupBy("key", "place").agg(F.min("at").alias("mate"), F.count("*").alias("n")).where("n > 1").drop("n"))
     by_place = keys.join(replaced, ["key", "place"]).where(F.col("mate") < F.col("at")).select("own", "other", "mate")
     # Inserted words: a deletion of the longer line is the shorter line itself, either of which may be earlier.
     longer = keys.where("place >= 0").groupBy("key").agg(F.min("at").alias("long"))
@@ -186,7 +187,7 @@ def removed_lines(keyed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     hot = cut(hot)
     gone = lines.join(hot, ["own", "other"]).where(F.col("near") | (F.struct("k1", "k2", "line") != F.col("at")))
     out = cut(gone.groupBy("k1", "k2").agg(F.collect_set("line").alias("gone")))
-    for df in (keys, made, lists, lines, distinct, met, near, hot):
+    for df in (shared, replaced, keys, made, lists, lines, distinct, met, near, hot):
         drop_cut(df)
     return out
 
