@@ -22,7 +22,7 @@ In a large bucket members meet in cells, one for each block of members and block
 
 Defined cases: ids are integers, others are refused with a ValueError; null, empty or blank text has the empty set, size
 0, and links with nothing; rows without an id have a null component and are kept only by themselves; rows that repeat an
-id are one node; equal texts are linked; an empty table gives an empty result; other columns are ignored.
+id are one node; equal texts are linked; very long texts are signed and verified whole, with memory in proportion to their sets; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -316,7 +316,7 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     # Every document belongs to the smallest id with its set; an id with several texts links what they belong to.
     member = cut(sets.select("id", "same").join(heads, "same").select("id", "rep"))
     reps = cut(sets.join(heads.select(F.col("rep").alias("id"), "same"), ["same", "id"]).dropDuplicates(["same"]).select("id", "n", "bands", "bits"))
-    common = reps.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    common = cut(reps.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     keyed = cut(reps.select("id", "n", F.explode("bands").alias("key")).join(common, "key"))
     degree = keyed.groupBy("id").agg(F.sum("size").alias("degree"))
     centre = cut(keyed.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("back"), "n")).alias("c")))
@@ -335,7 +335,7 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
         tried = cut(tried.unionByName(new))
         links = cut(links.unionByName(verified(new, texts, k, percent)))
         drop_cut(new)
-    for done in (keyed, centre, tried, reps):
+    for done in (common, keyed, centre, tried, reps):
         drop_cut(done)
     roots = components(links.unionByName(member.select(F.col("rep").alias("a"), F.col("id").alias("b"))))
     return signed.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
