@@ -8,7 +8,7 @@ identifiers, some 3 % of its length; only recipes are grouped and joined, so lon
 identifier ever stand for two chunks, all recipes carry their whole texts as well, so that results stay exact.
 
 Defined cases: null text equals the empty text; a null id never wins over another id and is kept only in a group
-that has no other id; rows that repeat an id share its decision; an empty table gives an empty result; columns
+that has no other id; rows that repeat an id share its decision; very long texts have long recipes and are compared whole; an empty table gives an empty result; columns
 other than the id and the text are ignored.
 """
 

@@ -13,7 +13,7 @@ The tape's prefix sums have two steps, over ``16 ** HEX`` hash buckets of each s
 no source is gathered in one task however large it is.
 
 Defined cases: null text has no words and null ids share one place on the tape; documents without words are taken by
-their place like others and add nothing; rows that repeat an id are rows of their own; ties on the tape go by size;
+their place like others and add nothing; rows that repeat an id are rows of their own; ties on the tape go by size; a very long text is one document like others, never cut;
 an empty table gives an empty result, a source without words the target 0; other columns are carried unchanged.
 The targets come from one row a source in one task, which suits up to some millions of sources, not one a document.
 """

@@ -20,7 +20,7 @@ Repeated windows go back to every occurrence of their context and are united per
 every repeated byte, ``keep="first"`` leaves the first copy (by id, then position) of each repeated string.
 
 Defined cases: ids are integers, others are refused with a ValueError; null text is empty; texts shorter than ``length`` have no repeats; rows that repeat an id are documents
-of their own, so equal rows repeat each other; matches never cross documents; documents may be of any length; a
+of their own, so equal rows repeat each other, and ``keep="first"`` leaves one of them; matches never cross documents; documents may be of any length; a
 null id is an id of its own; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -388,12 +388,27 @@ def resolve(here: DataFrame, pieces, length: int, deep: bool = False) -> DataFra
     return cut(known.where("copies > 1 or seen is not null"))
 
 
+def _without_copies(keyed: DataFrame, length: int) -> tuple[DataFrame, DataFrame | None]:
+    """keyed with one row of those that are equal in id and text, and the results of the others: all their bytes go."""
+    long = F.length("bytes") >= length
+    twice = cut(keyed.where(long).groupBy("id", "k2").agg(F.count("*").alias("rows"), F.min(F.length("bytes")).alias("n")).where("rows > 1"))
+    if twice.isEmpty():
+        return keyed, None
+    again, once = split_by_key(keyed.where(long), twice, ["id", "k2"])
+    left = keyed.where(~long).unionByName(once).unionByName(cut(again.dropDuplicates(["id", "k2"])))
+    n = F.col("n").cast("long")
+    spans = F.array(F.array(F.lit(0).cast("long"), n)).alias("spans")
+    rest = twice.select("id", "n", F.explode(F.sequence(F.lit(2).cast("long"), F.col("rows"))))
+    return left, rest.select("id", F.lit(b"").alias("kept"), spans, n.alias("n_bytes"), n.alias("n_removed"))
+
+
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, keep: str = "first", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, kept (the text's remaining bytes), spans [(start, end)] removed, n_bytes, n_removed, n_spans."""
     if keep not in ("first", "none"):
         raise ValueError(f"keep is first or none, not {keep}")
     long_id(docs, id_col)
     keyed = docs.select(named(id_col).alias("id"), text_of(text_col).alias("t")).select("id", F.coalesce(F.col("id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64("t").alias("k2"), F.encode("t", "UTF-8").alias("bytes"))
+    keyed, copies = (keyed, None) if keep == "none" else _without_copies(keyed, length)
     found = cut(occurrences(keyed.where(F.length("bytes") >= length), length))
     here = shared_only(found)
     drop_cut(found)
@@ -427,4 +442,6 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, keep: str = "first", id_
     touched = both.where("hits is not null").select("id", "bytes", "hits").mapInArrow(remove, f"id {kind}, kept binary, spans array<array<bigint>>, n_bytes long, n_removed long")
     plain = lambda d: d.select("id", F.col("bytes").alias("kept"), F.coalesce(none, F.array().cast("array<array<bigint>>")).alias("spans"), F.length("bytes").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"))
     done = touched.unionByName(plain(both.where("hits is null"))).unionByName(plain(clean))
+    if copies is not None:
+        done = done.unionByName(copies)
     return done.select(F.col("id").alias(id_col), "kept", "spans", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"))

@@ -227,3 +227,46 @@ def test_fisher_yates_is_a_permutation():
     assert [sorted(sharding.fisher_yates(n, 1, 2)) for n in (0, 1, 50)] == [list(range(n)) for n in (0, 1, 50)]
     firsts = Counter(sharding.fisher_yates(6, 3, b)[0] for b in range(3000))
     assert all(400 < firsts[k] < 600 for k in range(6))
+
+
+def test_pipeline_keeps_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    r = np.random.default_rng(2)
+    pool = ["".join(r.choice(list("abcdefgh"), 5)) for _ in range(300)]
+    line = "this very line stands in several of the documents"
+    rows = [(i, " ".join(r.choice(pool, 40)) + (f"\n{line}" if i % 3 == 0 else ""), ["en", None][i % 2], ["s", "t"][i % 2], 5, f"mine {i}", i + 0.5, i, 88, "thr", "ids", "tok") for i in range(40)]
+    rows += [rows[3], rows[4], (None, None, None, None, None, None, None, None, None, None, None, None), (None, "a b c", None, None, 1, "n", 1.0, 2, 3, "x", "y", "z"), (50, "", "en", "s", 0, "e", 0.0, 1, 2, "x", "y", "z")]
+    names = "doc_id long, text string, lang string, source string, n_chars int, rejected string, score double, n_lines long, n_removed int, threshold string, ids string, n_tokens string"
+    docs = spark.createDataFrame(rows, names).repartition(2)
+    spark.createDataFrame([(i, 0) for i in range(30)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    extra = {x[0]: x[5:] for x in rows if x[0] is not None}
+    for name, stage in corpus_pipeline.STAGES:
+        done = stage(spark, docs, str(tmp_path))
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0 and none.columns == done.columns
+        got = done.collect()
+        if name == "bpe":
+            assert {"ids", "decoded", "n_tokens", "score", "n_removed"} <= set(done.columns) and len(done.columns) == len(set(done.columns))
+            assert all(x.score == extra[x.doc_id][1] for x in got if x.doc_id is not None)
+            break
+        assert done.schema.simpleString() == docs.schema.simpleString()
+        assert got and all(tuple(x)[5:] == extra[x.doc_id] for x in got if x.doc_id is not None)
+        if name == "line_dedup":
+            assert sum(line in (x.text or "") for x in got) == 1 and any(x.n_chars != 5 for x in got) and any(x.n_chars == 5 for x in got)
+        if name != "source_mixing":
+            assert sum(x.doc_id is None for x in got) == 2
+        docs = done.cache()
+
+
+def test_suffix_dedup_leaves_one_of_equal_rows(spark):
+    from paperlake.llm import suffix_dedup
+
+    r = np.random.default_rng(4)
+    text = "".join(chr(97 + k) for k in r.integers(0, 26, 999))
+    rows = [(1, text, "x"), (1, text, "y"), (2, "x " + text, "z"), (3, "short", "a"), (3, "short", "b"), (4, text, "c"), (4, text, "c"), (4, text, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+    first = Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept).decode()) for x in suffix_dedup.suffix_dedup(docs).collect())
+    assert first == Counter({(1, 999, 0, 0, text): 1, (1, 999, 999, 1, ""): 1, (2, 1001, 999, 1, "x "): 1, (3, 5, 0, 0, "short"): 2, (4, 999, 999, 1, ""): 3})
+    none = suffix_dedup.suffix_dedup(docs, keep="none").collect()
+    assert Counter((x.doc_id, x.n_removed) for x in none) == Counter({(1, 999): 2, (2, 999): 1, (3, 0): 2, (4, 999): 3})
