@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import query_text as Q
 from ..operators import graph as G
+from ..operators import phrases as P
 from ..operators import ranking as R
 from ..operators import vector as V
 from ..sources.graph import Graph
 from ..sources.scratch import kept
 
+TEMPLATES = ("search_papers", "search_citations", "top_cited_papers", "coauthor_network", "author_venue_stats")
 STOP = ("the", "and", "of", "to", "in", "is", "it", "for", "on", "by", "about")
 
 
@@ -20,64 +24,77 @@ def has_specific(e: Column) -> Column:
 
 
 def most_cited(rows: DataFrame, by: str, k: int | None) -> DataFrame:
-    """The k most cited papers of each value of ``by``, in the templates' order; rows have id and cited. k = None keeps all.
+    """The k most cited papers of each value of ``by``, in the templates' order; rows have id and cited. k = None keeps all."""
+    return P.first_rows(rows, by, [F.desc_nulls_first("cited"), F.col("id")], k)
 
-    Spark cuts every task's rows to k a value before they move, so that a value that fits most papers gathers nowhere.
-    """
-    if k is None:
-        return rows
-    w = Window.partitionBy(by).orderBy(F.desc_nulls_first("cited"), "id")
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+
+@dataclass
+class GraphIndex:
+    """Phrase indexes of the papers' titles and abstracts and of the nodes' names; build them once for many batches of questions."""
+
+    papers: P.PhraseIndex
+    authors: P.PhraseIndex
+    venues: P.PhraseIndex
+    institutions: P.PhraseIndex
+
+
+def graph_index(g: Graph) -> GraphIndex:
+    text = F.lower(F.concat_ws("\n", "title", "abstract"))
+    papers = P.phrase_index(g.papers.select("id", text.alias("t"), F.col("cited_by_count").alias("cited")))
+    return GraphIndex(papers, *[P.phrase_index(nodes.select("id", F.lower("name").alias("t"))) for nodes in (g.authors, g.venues, g.institutions)])
 
 
-def holding(texts: DataFrame, words: DataFrame, k: int | None = None) -> DataFrame:
-    """(w, id, cited): the texts (id, t, cited) that hold each word (w) anywhere, also inside other words; with k, a word's most cited.
+def named_nodes(index: P.PhraseIndex, names: DataFrame) -> DataFrame:
+    """(wanted, id): the nodes whose names hold each of the names (wanted), ignoring case."""
+    return P.holding(index, names.select(F.col("wanted").alias("w"))).withColumnRenamed("w", "wanted")
 
-    A word without blanks lies inside one token of the text. Distinct tokens meet the words by a hash join on three
-    letters, the word's first ones, and only those few that pass are tested; texts are found by their tokens. Words
-    with blanks or of fewer letters are rare and test the texts themselves.
+
+def in_years(g: Graph, spans: DataFrame, k: int | None) -> DataFrame:
+    """(years, id, cited): the papers of each span, a struct (y, lo, hi); with k, its most cited ones.
+
+    The years of the dates, 10,000 at most, meet the spans; papers are found by their year. Where a span's ends are years, the
+    most cited papers of each of its years hold its own. A date that does not start with four digits is in no span.
     """
-    low = words.withColumn("low", F.lower("w"))
-    plain = F.col("low").rlike(r"^\S{3,}$")
-    every = texts.select("id", "cited", F.explode(F.array_distinct(F.split("t", r"\s+"))).alias("token")).where("length(token) >= 3")
-    tokens = kept(most_cited(every, "token", k))
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - 2), lambda i: F.substring(F.col("token"), i, F.lit(3))))
-    grams = tokens.select("token").distinct().select("token", F.explode(starts).alias("gram"))
-    found = grams.join(low.where(plain).withColumn("gram", F.substring("low", 1, 3)), "gram").where(F.contains("token", "low")).select("token", "w")
-    by_token = tokens.join(found, "token").select("w", "id", "cited").distinct()
-    others = texts.join(low.where(~plain), F.contains("t", "low")).select("w", "id", "cited")
-    return most_cited(by_token.unionByName(others), "w", k)
-
-
-def graph_candidates(g: Graph, asked: DataFrame, k: int | None = None) -> DataFrame:
+    dated = g.papers.select("id", "publication_date", F.col("cited_by_count").alias("cited"), F.substring("publication_date", 1, 4).alias("yr"))
+    y, lo, hi = (F.col(f"years.{c}") for c in ("y", "lo", "hi"))
+    first = lambda c: F.substring(c, 1, 4)
+    may = F.startswith("yr", first(y)) | ((F.col("yr") >= first(lo)) & (F.col("yr") <= hi))
+    whole = F.coalesce(F.length(y) == 4, F.lit(True)) & F.coalesce((F.length(lo) == 4) & (F.length(hi) == 4), F.lit(True))
+    date = F.col("publication_date")
+    fit = F.startswith(date, y) | ((date >= lo) & (date < hi))
+    known = kept(dated.select("yr").distinct().where(r"yr rlike '^[0-9]{4}$'"))
+    near = spans.distinct().withColumn("whole", whole)
+    out = None
+    for papers, part in ((most_cited(dated, "yr", k), near.where("whole")), (dated, near.where("not whole"))):
+        found = papers.join(F.broadcast(known).join(part, may).select("yr", "years"), "yr").where(fit).select("years", "id", "cited")
+        out = found if out is None else out.unionByName(found)
+    return most_cited(out, "years", k)
+
+
+def graph_candidates(g: Graph, asked: DataFrame, k: int | None = None, index: GraphIndex | None = None) -> DataFrame:
     """(query_id, id): papers that fit any entity of each question (query_id, entities); with k, its k most cited ones.
 
-    Names meet the small node tables, not the papers; keywords meet the papers' distinct tokens; only years test every paper.
+    Names and keywords meet the nodes and the papers through phrase indexes, years through the years of the dates.
     A paper among the k most cited of a question is so among those of the entity, node and token that it was found by. Each
     is therefore cut to k first, and the pairs grow with the distinct entities, not with questions times papers.
     """
-    e = F.col("entities")
+    e, index = F.col("entities"), index or graph_index(g)
     part = lambda field, name: asked.select("query_id", F.explode(e[field]).alias(name)).distinct()
     one = lambda field, name: asked.where(e[field].isNotNull()).select("query_id", e[field].alias(name))
     papers = g.papers.select("id", F.col("cited_by_count").alias("cited"))
     by = [part("paper_ids", "id").join(papers, "id").select("query_id", "id", "cited")]
-    named = F.contains(F.lower("name"), F.lower("wanted"))
-    for names, node, edge, key in ((part("author_names", "wanted"), g.authors, g.authored, "author_id"), (one("venue", "wanted"), g.venues, g.published_in, "venue_id"), (one("institution", "wanted"), g.institutions, g.associated_with, "inst_id")):
-        nodes = names.select("wanted").distinct().join(node, named).select("wanted", F.col("id").alias(key))
+    for names, node, edge, key in ((part("author_names", "wanted"), index.authors, g.authored, "author_id"), (one("venue", "wanted"), index.venues, g.published_in, "venue_id"), (one("institution", "wanted"), index.institutions, g.associated_with, "inst_id")):
+        nodes = kept(named_nodes(node, names).withColumnRenamed("id", key))
         of_node = edge.join(nodes.select(key).distinct(), key, "left_semi").select(key, F.col("paper_id").alias("id")).join(papers, "id")
         hits = nodes.join(most_cited(of_node, key, k), key).select("wanted", "id", "cited").distinct()
         by.append(names.join(most_cited(hits, "wanted", k), "wanted").select("query_id", "id", "cited"))
     words = part("keywords", "w")
-    text = F.lower(F.concat_ws("\n", "title", "abstract"))
-    texts = g.papers.select("id", text.alias("t"), F.col("cited_by_count").alias("cited"))
-    by.append(holding(texts, words.select("w").distinct(), k).join(words, "w").select("query_id", "id", "cited"))
+    held = P.holding(index.papers, words.select("w"), [F.desc_nulls_first("cited"), F.col("id")], k)
+    by.append(held.join(words, "w").select("query_id", "id", "cited"))
     years = asked.where(e["year"].isNotNull() | e["year_from"].isNotNull()).select("query_id", F.struct(e["year"].alias("y"), e["year_from"].alias("lo"), e["year_to"].alias("hi")).alias("years"))
-    date, span = F.col("publication_date"), F.col("years")
-    fit = F.startswith(date, span["y"]) | ((date >= span["lo"]) & (date < span["hi"]))
-    dated = g.papers.select("id", "publication_date", F.col("cited_by_count").alias("cited"))
-    in_years = most_cited(dated.join(years.select("years").distinct(), fit).select("years", "id", "cited"), "years", k)
+    of_span = in_years(g, years.select("years"), k)
     # Compared as text, since the parts may be null and nulls are not equal.
-    by.append(years.withColumn("key", F.to_json("years")).join(in_years.withColumn("key", F.to_json("years")).drop("years"), "key").select("query_id", "id", "cited"))
+    by.append(years.withColumn("key", F.to_json("years")).join(of_span.withColumn("key", F.to_json("years")).drop("years"), "key").select("query_id", "id", "cited"))
     out = by[0]
     for d in by[1:]:
         out = out.unionByName(d)
@@ -92,10 +109,10 @@ def citation_ends(g: Graph, asked: DataFrame, k: int | None = None) -> DataFrame
     return most_cited(ends, "query_id", k).select("query_id", "id")
 
 
-def named_authors(g: Graph, asked: DataFrame) -> DataFrame:
+def named_authors(g: Graph, asked: DataFrame, index: P.PhraseIndex) -> DataFrame:
     """(query_id, paper_id, author_id, author): the papers of the authors whose names hold a name of each question."""
     names = asked.select("query_id", F.explode("entities.author_names").alias("wanted"))
-    who = names.join(g.authors, F.contains(F.lower("name"), F.lower("wanted"))).select("query_id", F.col("id").alias("author_id"), F.col("name").alias("author")).distinct()
+    who = names.join(named_nodes(index, names), "wanted").join(g.authors, "id").select("query_id", F.col("id").alias("author_id"), F.col("name").alias("author")).distinct()
     return who.join(g.authored, "author_id").select("query_id", "paper_id", "author_id", "author")
 
 
@@ -106,17 +123,17 @@ def counted(rows: DataFrame, other: str, count: str, titles: int, k: int) -> Dat
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def coauthors(g: Graph, asked: DataFrame, k: int, titles: int = 5) -> DataFrame:
-    """``graph.coauthor_network`` for each question (query_id, entities)."""
+def coauthors(g: Graph, named: DataFrame, k: int, titles: int = 5) -> DataFrame:
+    """``graph.coauthor_network`` for the named authors of each question."""
     others = g.authored.join(g.authors, g.authored.author_id == g.authors.id).select("paper_id", F.col("author_id").alias("other_id"), F.col("name").alias("coauthor"))
-    pairs = named_authors(g, asked).join(others, "paper_id").where("author_id <> other_id").join(g.papers.select(F.col("id").alias("paper_id"), "title"), "paper_id")
+    pairs = named.join(others, "paper_id").where("author_id <> other_id").join(g.papers.select(F.col("id").alias("paper_id"), "title"), "paper_id")
     return counted(pairs, "coauthor", "shared_papers", titles, k)
 
 
-def author_venues(g: Graph, asked: DataFrame, k: int, titles: int = 3) -> DataFrame:
-    """``graph.author_venue_stats`` for each question (query_id, entities)."""
+def author_venues(g: Graph, named: DataFrame, k: int, titles: int = 3) -> DataFrame:
+    """``graph.author_venue_stats`` for the named authors of each question."""
     where = g.published_in.join(g.venues, g.published_in.venue_id == g.venues.id).select("paper_id", F.col("name").alias("venue"))
-    rows = named_authors(g, asked).join(where, "paper_id").join(g.papers.select(F.col("id").alias("paper_id"), "title"), "paper_id")
+    rows = named.join(where, "paper_id").join(g.papers.select(F.col("id").alias("paper_id"), "title"), "paper_id")
     return counted(rows, "venue", "paper_count", titles, k)
 
 
@@ -134,20 +151,49 @@ def keyword_search(asked: DataFrame, index: DataFrame, vocabulary: DataFrame, k:
     return V.best(R.best_per(hits, ["query_id", "id"], "similarity_score"), k).drop("rank")
 
 
-def hybrid(g: Graph, questions: DataFrame, k: int = 10, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def of_strategy(value: str | Column | None) -> Column | None:
+    return F.lit(value) if isinstance(value, str) else value
+
+
+def hybrid(
+    g: Graph,
+    questions: DataFrame,
+    k: int = 10,
+    index: tuple[DataFrame, DataFrame] | None = None,
+    phrases: GraphIndex | None = None,
+    candidates: int | str | None = "template",
+    strategy: str | Column | None = None,
+    template: str | Column | None = None,
+) -> DataFrame:
     """(query_id, rank, paper_id, ..., score, strategy): the ranked rows of each question that passes the guardrails.
 
     graph_only questions run their template: both ends of the citations of the requested ids, the co-authors or the venues
-    of the named authors, or the papers of any entity, with the most cited ones if those are asked for. As in the templates
-    themselves, a question's k most cited papers are its result; these are ranked by relevance. Co-authors and venues have no
-    paper_id and score and are ranked by their counts. Questions without a row fall back to the vector search; vector_first
-    questions take the vector search's papers. Requested ids come first.
+    of the named authors, or the papers of any entity, with the most cited ones if those are asked for. ``candidates`` says how many of
+    a question's papers, most cited first, relevance ranks: as many as the templates' own limit, k; a number; or with
+    None all. Co-authors and venues have no paper_id and score and are ranked by their counts. Questions without a row fall
+    back to the vector search. vector_first questions take the vector search's papers; if they name more than topics, these
+    papers join the requested ids, the template runs, and its rows are ranked by relevance. Requested ids come first.
+
+    strategy, template: overrides for all questions, or a column of questions; values that are none of the known ones change nothing.
     """
-    asked = kept(Q.analyzed(questions).where("status = 'ok'").select("query_id", "clean", "entities", "template", "strategy"))
+    asked = Q.analyzed(questions).where("status = 'ok'")
+    if template is not None:
+        given = of_strategy(template)
+        asked = asked.withColumn("template", F.when(given.isin(*TEMPLATES), given).otherwise(F.col("template")))
+    asked = asked.withColumn("strategy", Q.strategy(F.col("entities"), of_strategy(strategy)))
+    asked = kept(asked.select("query_id", "clean", "entities", "template", "strategy", has_specific(F.col("entities")).alias("specific")))
+    most = k if candidates == "template" else candidates
     weights, vocabulary = index or text_index(g)
-    structured = asked.where("strategy = 'graph_only'")
-    of = lambda template: structured.where(F.col("template") == template)
-    pairs = graph_candidates(g, structured.where("template in ('search_papers', 'top_cited_papers')"), k).unionByName(citation_ends(g, of("search_citations"), k))
+    phrases = phrases or graph_index(g)
+    by_topic = kept(keyword_search(asked.where("strategy = 'vector_first'"), weights, vocabulary, k))
+    # What the vector search has found for a question that names more than topics joins its requested ids.
+    more = by_topic.groupBy("query_id").agg(F.collect_list("id").alias("more"))
+    both_ways = asked.where("strategy = 'vector_first' AND specific").join(more, "query_id", "left")
+    known = F.array_distinct(F.concat(F.col("entities.paper_ids"), F.coalesce("more", F.array().cast("array<string>"))))
+    both_ways = both_ways.withColumn("entities", F.col("entities").withField("paper_ids", known)).drop("more")
+    structured = kept(asked.where("strategy = 'graph_only'").unionByName(both_ways))
+    of = lambda name: structured.where(F.col("template") == name)
+    pairs = graph_candidates(g, structured.where("template in ('search_papers', 'top_cited_papers')"), most, phrases).unionByName(citation_ends(g, of("search_citations"), most))
     # The most cited papers answer the question for them, which names nothing to match.
     top = g.papers.orderBy(F.desc_nulls_first("cited_by_count"), "id").limit(k).select("id")
     pairs = pairs.unionByName(of("top_cited_papers").select("query_id").crossJoin(F.broadcast(top))).distinct()
@@ -155,10 +201,13 @@ def hybrid(g: Graph, questions: DataFrame, k: int = 10, index: tuple[DataFrame,
     rows = pairs.join(G.enrich(g, g.papers.join(pairs.select("id").distinct(), "id", "left_semi"), few=True).withColumnRenamed("paper_id", "id"), "id").withColumnRenamed("id", "paper_id")
     scored = R.relevance(rows.join(asked.select("query_id", "entities"), "query_id")).withColumn("score", F.col("relevance"))
     found = kept(scored.select("query_id", "paper_id", "score", F.lit("graph").alias("origin")))
-    stats = kept(coauthors(g, of("coauthor_network"), k).unionByName(author_venues(g, of("author_venue_stats"), k), allowMissingColumns=True).withColumn("origin", F.lit("graph")))
+    by_author = kept(named_authors(g, structured.where("template in ('coauthor_network', 'author_venue_stats')"), phrases.authors).join(structured.select("query_id", "template"), "query_id"))
+    who = lambda name: by_author.where(F.col("template") == name).drop("template")
+    stats = kept(coauthors(g, who("coauthor_network"), k).unionByName(author_venues(g, who("author_venue_stats"), k), allowMissingColumns=True).withColumn("origin", F.lit("graph")))
     # A question without a graph result is answered by the vector search.
-    answered = found.select("query_id").unionByName(stats.select("query_id")).distinct()
-    vector = keyword_search(asked.join(answered, "query_id", "left_anti"), weights, vocabulary, k)
+    answered = kept(found.select("query_id").unionByName(stats.select("query_id")).distinct())
+    rest = asked.where("strategy = 'graph_only'").join(answered, "query_id", "left_anti")
+    vector = by_topic.join(answered, "query_id", "left_anti").unionByName(keyword_search(rest, weights, vocabulary, k))
     both = found.unionByName(vector.select("query_id", F.col("id").alias("paper_id"), F.col("similarity_score").alias("score"), F.lit("vector").alias("origin")))
     wanted = asked.select("query_id", F.explode("entities.paper_ids").alias("paper_id")).distinct().withColumn("asked", F.lit(True))
     both = R.boost(both.join(wanted, ["query_id", "paper_id"], "left"), F.coalesce("asked", F.lit(False)), "score", 1000.0)

@@ -471,17 +471,6 @@ def test_cache_equals_a_plain_one(spark, tmp_path):
     assert s.requests == 300 == s.hits + s.misses
 
 
-def test_keywords_inside_words(spark):
-    texts = ["graph search\nof graphs", "paragraph", "ab cd", "x ab", None, "GRAPHS", "über"]
-    words = ["graph", "raph", "ab", "b c", "über", "zzz"]
-    t = spark.createDataFrame([(i, x and x.lower(), i % 3 or None) for i, x in enumerate(texts)], "id int, t string, cited int")
-    words_df = spark.createDataFrame([(w,) for w in words], "w string")
-    got = {(x.id, x.w) for x in hybrid.holding(t, words_df).collect()}
-    assert got == {(i, w) for i, x in enumerate(texts) if x for w in words if w.lower() in x.lower()}
-    best = {(x.id, x.w) for x in hybrid.holding(t, words_df, 1).collect()}
-    assert best == {(min((i for i, v in got if v == w), key=lambda i: (i % 3 != 0, -(i % 3), i)), w) for _, w in got}
-
-
 def test_most_cited_candidates(spark, sf_dir):
     """Cutting entities, nodes and tokens to k first leaves each question's k most cited papers of all that fit, with null counts and ties."""
     g = star_graph(spark, sf_dir)
