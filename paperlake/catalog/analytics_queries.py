@@ -165,7 +165,7 @@ def an_cohens_d(spark, sf_dir):
 @query("an_median_split", "WITH m AS (SELECT median(o_totalprice) AS m FROM orders) SELECT o_totalprice >= m AS high, count(*) AS n FROM orders, m GROUP BY 1")
 def an_median_split(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    middle = o.agg(F.median("o_totalprice").alias("m"))
+    middle = S.quantiles(o, "o_totalprice", [0.5]).select(F.get("q", F.lit(0)).alias("m"))
     return o.crossJoin(F.broadcast(middle)).groupBy((F.col("o_totalprice") >= F.col("m")).alias("high")).agg(F.count("*").alias("n"))
 
 
@@ -176,8 +176,10 @@ def an_trend_line(spark, sf_dir):
 
 @query("an_boxplot", "SELECT o_orderpriority, min(o_totalprice) AS lo, round(quantile_cont(o_totalprice, 0.25), 4) AS q1, round(quantile_cont(o_totalprice, 0.5), 4) AS q2, round(quantile_cont(o_totalprice, 0.75), 4) AS q3, max(o_totalprice) AS hi FROM orders GROUP BY 1")
 def an_boxplot(spark, sf_dir):
-    q = lambda p: F.round(F.percentile("o_totalprice", p), 4)
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.min("o_totalprice").alias("lo"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"), F.max("o_totalprice").alias("hi"))
+    o = table(spark, sf_dir, "orders")
+    ends = o.groupBy("o_orderpriority").agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
+    quarters = S.quantiles(o, "o_totalprice", [0.25, 0.5, 0.75], ["o_orderpriority"]).select("o_orderpriority", *[F.round(F.get("q", F.lit(i)), 4).alias(f"q{i + 1}") for i in range(3)])
+    return ends.join(quarters, "o_orderpriority")
 
 
 @query("an_log_histogram", f"WITH {PAPERS_SQL}, l AS (SELECT ln(1 + citation_count) AS x FROM pf), e AS (SELECT min(x) AS lo, max(x) AS hi FROM l) SELECT CAST(least(floor((x - lo) / ((hi - lo) / 30)), 29) AS INTEGER) AS bin, count(*) AS n FROM l, e GROUP BY 1")

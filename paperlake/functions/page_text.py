@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# How labels of figures and tables look; the caption patterns below are built on them.
 FIGURE, TABLE = r"fig(?:ure|\.)?\s*\.?\s*S?\d+[a-z]?", r"tab(?:le|\.)?\s*\.?\s*S?\d+[a-z]?"
 MOST = 1000
 # Categories by label, and the words that tell the others apart.

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 MAX_LENGTH = 1000
 
-# What is rejected, what is filtered, and the words that carry no topic.
+# Fixed values, down to INSTITUTION: what is rejected, what is filtered, the words that carry no topic, the words and patterns by
+# which questions are classified, and the patterns of authors, venues and institutions.
 REJECTED = (
     r"ignore\s+(all\s+)?previous\s+instructions",
     r"ignore\s+the\s+above",
@@ -32,9 +33,10 @@ FILTERED = (
     r"//.*\n.*MATCH",
 )
 STOP_WORDS = (
-    "the a an and or but in on at to for of with by about papers paper research study studies find search what where when who how why which "
-    "is are was were have has had do does did will would could should related concerning regarding involving"
-).split()
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "about", "papers", "paper", "research", "study",
+    "studies", "find", "search", "what", "where", "when", "who", "how", "why", "which", "is", "are", "was", "were", "have", "has", "had", "do",
+    "does", "did", "will", "would", "could", "should", "related", "concerning", "regarding", "involving",
+)
 SEMANTIC = ("similar", "related", "about", "concerning", "regarding")
 STRUCTURAL = ("cited", "authored", "collaborated", "published", "references", "author", "co-author", "collaborator")
 FACTUAL = ("who", "what", "when", "where", "which", "how many")

@@ -243,6 +243,9 @@ def test_crossmodal_equals_brute_force(spark, monkeypatch):
     own = {k: (1 + sum(s[k, j] > s[k, k] + 1e-9 for j in same(k)), 1 + sum(s[j, k] > s[k, k] + 1e-9 for j in same(k))) for k in range(50)}
     assert {r.pair: (r.t2i, r.i2t) for r in crossmodal.ranks(pairs, within=True).collect()} == own
     assert crossmodal.ranks(pairs.limit(0)).count() == 0
+    monkeypatch.setattr(crossmodal, "BLOCK_BYTES", 8 << 20)
+    monkeypatch.setattr(crossmodal, "SLICE", 7)
+    assert {r.pair: (r.t2i, r.i2t) for r in crossmodal.ranks(pairs).collect()} == want and crossmodal.packed(pairs)[1] == 1
 
 
 def test_evidence_is_what_the_claims_name(spark, tiny):
