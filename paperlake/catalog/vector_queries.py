@@ -173,3 +173,15 @@ def cp_crossmodal_ranks(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select((F.floor(F.col("vec_id") / 2)).cast("long").alias("pair"), (F.col("vec_id") % 2).alias("side"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("subset"))
     pairs = v.where("side = 0").select("pair", "subset", F.col("vector").alias("text")).join(v.where("side = 1").select("pair", F.col("vector").alias("image")), "pair")
     return benchmark(pairs).select("subset", "n", *[F.round(c, 6).alias(c) for c in ("t2i_mrr", "t2i_r1", "t2i_r10", "i2t_mrr", "i2t_r10")])
+
+
+#: The signs of a vector's components as the bits of its hash.
+_BITS = "CAST(list_reduce(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), lambda a, b: a || b) AS BIT)"
+
+
+@query("tx_near_hashes", f"WITH h AS (SELECT vec_id AS id, {_BITS} AS h FROM embeddings) SELECT a.id, count(*) - 1 AS n_near, min(b.id) AS first, min(b.id) = a.id AS unseen FROM h a JOIN h b ON bit_count(xor(a.h, b.h)) <= 3 GROUP BY a.id")
+def tx_near_hashes(spark, sf_dir):
+    from ..operators.near_hashes import near_copies
+
+    bits = F.array_join(F.transform("embedding", lambda x: F.when(x > 0, "1").otherwise("0")), "")
+    return near_copies(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.array(F.conv(bits, 2, -10).cast("long")).alias("hash")), 3)
