@@ -249,10 +249,10 @@ def an_llm_usage(spark, sf_dir):
     return S.usage(e).select("purpose", "calls", F.round("total_seconds", 4).alias("total_seconds"), "errors", F.round("avg_seconds", 6).alias("avg_seconds"))
 
 
-@query("an_model_rank", "SELECT 1 + count(*) FILTER (WHERE s > 0.06::DOUBLE) AS rank, count(*) + 1 AS of, round((count(*) + 1 - (1 + count(*) FILTER (WHERE s > 0.06::DOUBLE)) + 1) / (count(*) + 1) * 100, 6) AS percentile FROM (VALUES (0.652::DOUBLE), (0.1::DOUBLE), (0.045::DOUBLE), (0.07::DOUBLE), (0.028::DOUBLE)) v(s)")
+@query("an_model_rank", "WITH b AS (SELECT avg(o_totalprice) AS s FROM orders GROUP BY o_custkey) SELECT 1 + count(*) FILTER (WHERE s > 150000) AS rank, count(*) + 1 AS of, round((count(*) + 1 - (1 + count(*) FILTER (WHERE s > 150000)) + 1) / (count(*) + 1) * 100, 6) AS percentile FROM b")
 def an_model_rank(spark, sf_dir):
-    b = spark.createDataFrame([(x,) for x in (0.652, 0.1, 0.045, 0.07, 0.028)], "score double")
-    return S.rank_among(0.06, b).withColumn("percentile", F.round("percentile", 6))
+    b = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("score"))
+    return S.rank_among(150000.0, b).withColumn("percentile", F.round("percentile", 6))
 
 
 @query("an_cache_hit_rate", "SELECT event_type, round(count(*) FILTER (WHERE value < 50) / greatest(1, count(*)) * 100, 6) AS hit_rate FROM events GROUP BY 1")

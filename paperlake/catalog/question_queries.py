@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import query_text as Q
 from ..sources.queries import questions, questions_sql
+from ..sources.graph import table
 from . import query
 
 WITH = "WITH " + questions_sql()
@@ -113,10 +114,14 @@ def nlq_classify(spark, sf_dir):
     return questions(spark, sf_dir).select("query_id", Q.classify(F.col("query")).alias("c")).select("query_id", "c.*")
 
 
-@query("nlq_ai_entities", "SELECT * FROM (VALUES (1, ['W7'], '1998', true), (2, NULL, NULL, NULL), (3, ['W1', 'W2'], NULL, NULL)) v(n, paper_ids, year, wants_citations)")
+@query("nlq_ai_entities", "SELECT c_custkey AS n, CASE c_custkey % 3 WHEN 0 THEN ['W' || c_custkey] WHEN 2 THEN ['W1', 'W' || c_custkey] END AS paper_ids, CASE c_custkey % 3 WHEN 0 THEN CAST(1990 + c_nationkey AS VARCHAR) END AS year, CASE c_custkey % 3 WHEN 2 THEN c_name END AS venue, CASE c_custkey % 3 WHEN 0 THEN c_nationkey % 2 = 0 END AS wants_citations FROM customer")
 def nlq_ai_entities(spark, sf_dir):
-    raw = [(1, '```json\n{"paper_ids": ["W7"], "year": 1998, "wants_citations": true}\n```'), (2, "I cannot tell"), (3, 'Sure: {"paper_ids": ["W1", "W2"]} as asked')]
-    return spark.createDataFrame(raw, "n int, raw string").select("n", Q.ai_entities(F.col("raw")).alias("e")).select("n", "e.paper_ids", "e.year", "e.wants_citations")
+    """A model's answers about each customer: fenced JSON, prose without JSON, and JSON inside prose."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey").cast("string")
+    fenced = F.concat(F.lit('```json\n{"paper_ids": ["W'), key, F.lit('"], "year": '), (1990 + F.col("c_nationkey")).cast("string"), F.lit(', "wants_citations": '), (F.col("c_nationkey") % 2 == 0).cast("string"), F.lit("}\n```"))
+    inside = F.concat(F.lit('Sure: {"paper_ids": ["W1", "W'), key, F.lit('"], "venue": "'), "c_name", F.lit('"} as asked'))
+    raw = F.when(F.col("c_custkey") % 3 == 0, fenced).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("I cannot tell for "), "c_name")).otherwise(inside)
+    return c.select(F.col("c_custkey").alias("n"), Q.ai_entities(raw).alias("e")).select("n", "e.paper_ids", "e.year", "e.venue", "e.wants_citations")
 
 
 @query("nlq_analyzed")

@@ -189,10 +189,11 @@ RAW_LABELS = (
 _RAW_SQL = ", ".join(f"({i}, '{label}')" for i, (_, label) in enumerate(RAW_LABELS))
 
 
-@query("vf_label_parser", f"SELECT CAST(n AS BIGINT) AS n, label FROM (VALUES {_RAW_SQL}) v(n, label)")
+@query("vf_label_parser", f"SELECT o_orderkey AS n, label FROM orders JOIN (VALUES {_RAW_SQL}) v(nth, label) ON o_orderkey % {len(RAW_LABELS)} = nth")
 def vf_label_parser(spark, sf_dir):
-    rows = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(RAW_LABELS)], "n long, raw string")
-    return rows.select("n", A.parse_label(F.col("raw")).alias("label"))
+    """A judge's answer for each order, one of the texts in turn."""
+    raw = F.element_at(F.array(*[F.lit(x).cast("string") for x, _ in RAW_LABELS]), (F.col("o_orderkey") % len(RAW_LABELS) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"), A.parse_label(raw).alias("label"))
 
 
 @query("vf_verdicts", "WITH l AS (SELECT doc_id % 97 AS answer_id, CASE WHEN doc_id % 97 = 5 THEN NULL WHEN doc_id % 97 < 40 THEN 'SUPPORTED' WHEN doc_id % 97 < 60 AND doc_id % 2 = 0 THEN 'SUPPORTED' WHEN doc_id % 97 < 80 THEN 'NO_EVIDENCE' ELSE 'CONTRADICTED' END AS label FROM documents), t AS (SELECT answer_id, count(label) AS total, count(*) FILTER (WHERE label = 'SUPPORTED') AS supported, count(*) FILTER (WHERE label = 'CONTRADICTED') AS contradicted, count(*) FILTER (WHERE label = 'NO_EVIDENCE') AS no_evidence FROM l GROUP BY 1) SELECT *, CASE WHEN total = 0 THEN 'NO_CLAIMS' WHEN contradicted > 0 THEN 'CONTRADICTED' WHEN supported = total THEN 'FULLY_SUPPORTED' WHEN supported > 0 THEN 'PARTIALLY_SUPPORTED' ELSE 'NO_EVIDENCE' END AS verdict FROM t")

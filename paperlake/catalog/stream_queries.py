@@ -123,33 +123,50 @@ def st_memory(spark, sf_dir):
     return run_to_end(S.memory_stream(s, 240))
 
 
+#: Page texts; {} is the order's number.
 MARKDOWN = (
-    "Intro\n\nTable 1: Scores of models.\n| Model | Acc |\n|---|:---:|\n| A | 0.9 |\n| B | 0.8 |\nEnd\n\nFigure 2. A plot of things.\nSecond line\n\nMore",
-    "**Table 3.** Bold one\n\n| a | b | c |\n| --- | --- | --- |\n| 1 | 2 |\n| 1 |\n| 4 | 5 | 6 |\n",
-    "| only | header |\n| x | y |\n| no | rule |", "| one |\n|---|\n| 1 |", "| h | i |\n|---|---|\n|---|---|\n| | |\n| v | w |", "no table, no caption", "fig. S4a: short",
+    "Intro {}\n\nTable {}: Scores of models.\n| Model {} | Acc |\n|---|:---:|\n| A | 0.{} |\n| B | 0.8 |\nEnd\n\nFigure {}. A plot of things {}.\nSecond line\n\nMore",
+    "**Table {}.** Bold one\n\n| a | b{} | c |\n| --- | --- | --- |\n| 1 | 2 |\n| {} |\n| 4 | 5 | 6 |\n",
+    "| only | header {} |\n| x | y |\n| no | rule |", "| one {} |\n|---|\n| 1 |", "| h | i{} |\n|---|---|\n|---|---|\n| | |\n| v | w |", "no table, no caption {}", "fig. S{}a: short {}",
 )
 
 
-def pages(spark):
-    return spark.createDataFrame(list(enumerate(MARKDOWN)), "page int, text string")
+def pages(spark, sf_dir):
+    """Each order as a page: one of the texts, in turn, with its number."""
+    o = table(spark, sf_dir, "orders")
+    text = F.element_at(F.array(*[F.lit(m) for m in MARKDOWN]), (F.col("o_orderkey") % len(MARKDOWN) + 1).cast("int"))
+    return o.select(F.col("o_orderkey").alias("page"), F.replace(text, F.lit("{}"), F.col("o_orderkey").cast("string")).alias("text"))
 
 
-@query("tx_tables", "SELECT * FROM (VALUES (0, '| Model | Acc |' || chr(10) || '|---|:---:|' || chr(10) || '| A | 0.9 |' || chr(10) || '| B | 0.8 |', true, ['Model', 'Acc'], 2), (1, '| a | b | c |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| 1 | 2 |' || chr(10) || '| 1 |' || chr(10) || '| 4 | 5 | 6 |', true, ['a', 'b', 'c'], 3), (2, '| only | header |' || chr(10) || '| x | y |' || chr(10) || '| no | rule |', false, ['only', 'header'], 1), (3, '| one |' || chr(10) || '|---|' || chr(10) || '| 1 |', false, ['one'], 1), (4, '| h | i |' || chr(10) || '|---|---|' || chr(10) || '|---|---|' || chr(10) || '| | |' || chr(10) || '| v | w |', true, ['h', 'i'], 1)) v(page, block, valid, headers, rows)")
+def of_pages(columns: str, rows: str, keys: str) -> str:
+    """SQL of what is found on the pages of each text, with the order's number for {}."""
+    return f"SELECT o_orderkey AS page, {columns} FROM orders JOIN (VALUES {rows}) v({keys}) ON o_orderkey % {len(MARKDOWN)} = nth"
+
+
+_N = "CAST(o_orderkey AS VARCHAR)"
+_TABLES = of_pages(
+    f"replace(block, '{{}}', {_N}) AS block, valid, list_transform(headers, lambda h: replace(h, '{{}}', {_N})) AS headers, rows",
+    "(0, '| Model {} | Acc |' || chr(10) || '|---|:---:|' || chr(10) || '| A | 0.{} |' || chr(10) || '| B | 0.8 |', true, ['Model {}', 'Acc'], 2), (1, '| a | b{} | c |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| 1 | 2 |' || chr(10) || '| {} |' || chr(10) || '| 4 | 5 | 6 |', true, ['a', 'b{}', 'c'], 3), (2, '| only | header {} |' || chr(10) || '| x | y |' || chr(10) || '| no | rule |', false, ['only', 'header {}'], 1), (3, '| one {} |' || chr(10) || '|---|' || chr(10) || '| 1 |', false, ['one {}'], 1), (4, '| h | i{} |' || chr(10) || '|---|---|' || chr(10) || '|---|---|' || chr(10) || '| | |' || chr(10) || '| v | w |', true, ['h', 'i{}'], 1)",
+    "nth, block, valid, headers, rows",
+)
+
+
+@query("tx_tables", _TABLES)
 def tx_tables(spark, sf_dir):
-    b = pages(spark).select("page", F.explode(T.table_blocks(F.col("text"))).alias("block"))
+    b = pages(spark, sf_dir).select("page", F.explode(T.table_blocks(F.col("text"))).alias("block"))
     t = b.withColumn("t", T.parse_table(F.col("block")))
     return t.select("page", "block", T.valid_table(F.col("block")).alias("valid"), F.col("t.headers").alias("headers"), F.size("t.rows").alias("rows"))
 
 
-@query("tx_captions", "SELECT * FROM (VALUES (0, 'Figure 2. A plot of things.' || chr(10) || 'Second line'), (1, NULL), (2, NULL), (3, NULL), (4, NULL), (5, NULL), (6, 'fig. S4a: short')) v(page, caption)")
+@query("tx_captions", of_pages(f"replace(caption, '{{}}', {_N}) AS caption", "(0, 'Figure {}. A plot of things {}.' || chr(10) || 'Second line'), (1, NULL), (2, NULL), (3, NULL), (4, NULL), (5, NULL), (6, 'fig. S{}a: short {}')", "nth, caption"))
 def tx_captions(spark, sf_dir):
     at = F.greatest(F.position(F.lit("Figure"), F.col("text")) - 1, F.lit(0))
-    return pages(spark).select("page", T.caption_near_image(F.col("text"), at).alias("caption"))
+    return pages(spark, sf_dir).select("page", T.caption_near_image(F.col("text"), at).alias("caption"))
 
 
-@query("tx_table_captions", "SELECT * FROM (VALUES (0, 'Table 1: Scores of models.'), (1, 'Table 3.** Bold one'), (2, NULL), (3, NULL), (4, NULL)) v(page, caption)")
+@query("tx_table_captions", of_pages(f"replace(caption, '{{}}', {_N}) AS caption", "(0, 'Table {}: Scores of models.'), (1, 'Table {}.** Bold one'), (2, NULL), (3, NULL), (4, NULL)", "nth, caption"))
 def tx_table_captions(spark, sf_dir):
-    b = pages(spark).withColumn("block", F.explode(T.table_blocks(F.col("text"))))
+    b = pages(spark, sf_dir).withColumn("block", F.explode(T.table_blocks(F.col("text"))))
     return b.select("page", T.caption_near_table(F.col("text"), F.col("block")).alias("caption"))
 
 
