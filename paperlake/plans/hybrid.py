@@ -89,12 +89,14 @@ def graph_candidates(g: Graph, asked: DataFrame, k: int | None = None, index: Gr
         hits = nodes.join(most_cited(of_node, key, k), key).select("wanted", "id", "cited").distinct()
         by.append(names.join(most_cited(hits, "wanted", k), "wanted").select("query_id", "id", "cited"))
     words = part("keywords", "w")
-    held = P.holding(index.papers, words.select("w"), [F.desc_nulls_first("cited"), F.col("id")], k)
+    held = kept(P.holding(index.papers, words.select("w"), [F.desc_nulls_first("cited"), F.col("id")], k))
     by.append(held.join(words, "w").select("query_id", "id", "cited"))
     years = asked.where(e["year"].isNotNull() | e["year_from"].isNotNull()).select("query_id", F.struct(e["year"].alias("y"), e["year_from"].alias("lo"), e["year_to"].alias("hi")).alias("years"))
-    of_span = in_years(g, years.select("years"), k)
+    of_span = kept(in_years(g, years.select("years"), k))
     # Compared as text, since the parts may be null and nulls are not equal.
     by.append(years.withColumn("key", F.to_json("years")).join(of_span.withColumn("key", F.to_json("years")).drop("years"), "key").select("query_id", "id", "cited"))
+    # Each way of its own is written, so that the driver plans one at a time.
+    by = [kept(d) for d in by]
     out = by[0]
     for d in by[1:]:
         out = out.unionByName(d)
@@ -207,7 +209,7 @@ def hybrid(
     # A question without a graph result is answered by the vector search.
     answered = kept(found.select("query_id").unionByName(stats.select("query_id")).distinct())
     rest = asked.where("strategy = 'graph_only'").join(answered, "query_id", "left_anti")
-    vector = by_topic.join(answered, "query_id", "left_anti").unionByName(keyword_search(rest, weights, vocabulary, k))
+    vector = kept(by_topic.join(answered, "query_id", "left_anti").unionByName(keyword_search(rest, weights, vocabulary, k)))
     both = found.unionByName(vector.select("query_id", F.col("id").alias("paper_id"), F.col("similarity_score").alias("score"), F.lit("vector").alias("origin")))
     wanted = asked.select("query_id", F.explode("entities.paper_ids").alias("paper_id")).distinct().withColumn("asked", F.lit(True))
     both = R.boost(both.join(wanted, ["query_id", "paper_id"], "left"), F.coalesce("asked", F.lit(False)), "score", 1000.0)
