@@ -426,7 +426,7 @@ def test_queries_cover_the_contract(spark, sf_dir):
     import duckdb
 
     names = queries.queries()
-    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 14)}
     con = duckdb.connect()
     for t in ("documents", "pages", "conversations", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
