@@ -40,11 +40,15 @@ def long_id(docs: DataFrame, column: str) -> Column:
 
 
 def worker_memory(name: str, make):
-    """An object that a Python process keeps, a worker for all its tasks; functions travel by value, so their globals do not last."""
+    """An object that a Python process keeps, a worker for all its tasks; functions travel by value, so their globals do not last.
+
+    A worker keeps one object: what an earlier operator left in it goes first.
+    """
     held = sys.modules.setdefault("_paperlake_worker", types.ModuleType("_paperlake_worker")).__dict__
-    if name not in held:
-        held[name] = make()
-    return held[name]
+    if held.get("kept", ("", None))[0] != name:
+        held["kept"] = ("", None)
+        held["kept"] = (name, make())
+    return held["kept"][1]
 
 
 def cut(df: DataFrame) -> DataFrame:
