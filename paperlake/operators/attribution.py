@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.let import let
+
 SPAN = "array<struct<kind:string,text:string,confidence:double,char_start:int,char_end:int>>"
 # Words that mark a factual statement, and the label ladder's keywords.
 FACT_WORDS = ("author", "wrote", "written by", "published in", "published by", "titled", "entitled", "paper id", "doi", "citation", "journal", "conference", "venue")
@@ -34,32 +36,42 @@ def spans(answer: Column, title: Column, authors: Column, abstract: Column, numb
 
     Of spans that start at the same place the first stays. Offsets count characters from 0.
     """
-    low = F.lower(answer)
-    name = F.trim(empty(title))
-    at_title = find(low, F.lower(name))
-    heads = F.filter(words(F.lower(name)), lambda w: F.length(w) > 3)
-    found = F.filter(heads, lambda w: F.contains(low, w))
-    partial = (F.size(heads) >= 3) & (F.size(found) >= F.size(heads) * 0.6)
     none = F.array().cast(SPAN)
-    by_title = F.when(
-        F.length(name) > 10,
-        F.when(at_title >= 0, F.array(_span("title", answer, at_title, F.length(name), 0.95)))
-        .when(partial, F.array(F.struct(F.lit("partial").alias("kind"), F.concat(F.lit("Partial title match: "), F.array_join(F.slice(found, 1, 5), ", ")).alias("text"), F.lit(0.6).alias("confidence"), F.lit(0).alias("char_start"), F.lit(0).alias("char_end"))))
-        .otherwise(none),
-    ).otherwise(none)
-    author = F.try_element_at(F.filter(F.coalesce(authors, F.array().cast("array<string>")), lambda a: (F.length(empty(a)) >= 3) & F.contains(low, F.lower(a))), F.lit(1))
-    by_author = F.when(author.isNotNull(), F.array(_span("author", answer, find(low, F.lower(author)), F.length(author), 0.85))).otherwise(none)
-    mark = F.concat(F.lit("["), number.cast("string"), F.lit("]"))
-    parts = F.split(answer, F.concat(F.lit("\\["), number.cast("string"), F.lit("\\]")), -1)
-    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.length(F.array_join(F.slice(parts, F.lit(1), k), "")) + (k - 1) * F.length(mark))
-    by_mark = F.when(F.size(parts) > 1, F.transform(ends, lambda at: _span("citation", answer, at, F.length(mark), 0.9))).otherwise(none)
-    body = words(F.lower(F.trim(empty(abstract))))
-    phrases = F.when(F.size(body) >= 4, F.transform(F.sequence(F.lit(1), F.greatest(F.size(body) - 3, F.lit(1))), lambda i: F.array_join(F.slice(body, i, 4), " "))).otherwise(F.array().cast("array<string>"))
-    phrase = F.try_element_at(F.filter(phrases, lambda p: (F.length(p) > 15) & F.contains(low, p)), F.lit(1))
-    by_phrase = F.when((F.length(F.trim(empty(abstract))) > 50) & phrase.isNotNull(), F.array(_span("abstract", answer, find(low, phrase), F.length(phrase), 0.75))).otherwise(none)
-    every = F.concat(by_title, by_author, by_mark, by_phrase)
-    starts = F.transform(every, lambda s: s["char_start"])
-    return F.when(F.length(empty(answer)) > 0, F.filter(every, lambda s, i: F.array_position(starts, s["char_start"]) == i + 1)).otherwise(none)
+    said = F.struct(answer.alias("text"), F.lower(answer).alias("low"), F.trim(empty(title)).alias("name"), F.trim(empty(abstract)).alias("body"), F.concat(F.lit("["), number.cast("string"), F.lit("]")).alias("mark"))
+
+    def by_title(a: Column) -> Column:
+        name = a["name"]
+
+        def partial(heads: Column) -> Column:
+            some = lambda found: F.when((F.size(heads) >= 3) & (F.size(found) >= F.size(heads) * 0.6), F.array(F.struct(F.lit("partial").alias("kind"), F.concat(F.lit("Partial title match: "), F.array_join(F.slice(found, 1, 5), ", ")).alias("text"), F.lit(0.6).alias("confidence"), F.lit(0).alias("char_start"), F.lit(0).alias("char_end")))).otherwise(none)
+            return let(F.filter(heads, lambda w: F.contains(a["low"], w)), some)
+
+        heads = F.filter(words(F.lower(name)), lambda w: F.length(w) > 3)
+        whole = lambda at: F.when(at >= 0, F.array(_span("title", a["text"], at, F.length(name), 0.95))).otherwise(let(heads, partial))
+        return F.when(F.length(name) > 10, let(find(a["low"], F.lower(name)), whole)).otherwise(none)
+
+    def by_author(a: Column) -> Column:
+        named = F.filter(F.coalesce(authors, F.array().cast("array<string>")), lambda x: (F.length(empty(x)) >= 3) & F.contains(a["low"], F.lower(x)))
+        return let(F.try_element_at(named, F.lit(1)), lambda x: F.when(x.isNotNull(), F.array(_span("author", a["text"], find(a["low"], F.lower(x)), F.length(x), 0.85))).otherwise(none))
+
+    def by_mark(a: Column) -> Column:
+        size = F.length(a["mark"])
+        at = lambda parts, k: F.length(F.array_join(F.slice(parts, F.lit(1), k), "")) + (k - 1) * size
+        every = lambda parts: F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: let(at(parts, k), lambda place: _span("citation", a["text"], place, size, 0.9)))
+        return let(F.split(a["text"], F.concat(F.lit("\\Q"), a["mark"], F.lit("\\E")), -1), lambda parts: F.when(F.size(parts) > 1, every(parts)).otherwise(none))
+
+    def by_phrase(a: Column) -> Column:
+        four = lambda body, i: F.array_join(F.slice(body, i, 4), " ")
+        phrases = lambda body: F.when(F.size(body) >= 4, F.transform(F.sequence(F.lit(1), F.greatest(F.size(body) - 3, F.lit(1))), lambda i: four(body, i)))
+        fit = F.filter(let(words(F.lower(a["body"])), phrases), lambda p: (F.length(p) > 15) & F.contains(a["low"], p))
+        found = lambda p: F.when(p.isNotNull(), F.array(_span("abstract", a["text"], find(a["low"], p), F.length(p), 0.75))).otherwise(none)
+        return F.when(F.length(a["body"]) > 50, let(F.try_element_at(fit, F.lit(1)), found)).otherwise(none)
+
+    def first_of_places(every: Column) -> Column:
+        return let(F.transform(every, lambda s: s["char_start"]), lambda starts: F.filter(every, lambda s, i: F.array_position(starts, s["char_start"]) == i + 1))
+
+    every = let(said, lambda a: F.concat(by_title(a), by_author(a), by_mark(a), by_phrase(a)))
+    return F.when(F.length(empty(answer)) > 0, let(every, first_of_places)).otherwise(none)
 
 
 def claims(text: Column) -> Column:
