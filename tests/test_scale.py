@@ -74,3 +74,15 @@ def test_weights_of_terms_need_no_shuffle(spark):
     rows = V.tfidf(texts, vocabulary, ("of",), drop=0.25)
     assert "Exchange" not in rows._jdf.queryExecution().toString()
     assert {r.term for r in rows.collect() if r.id.query_id == 1} == set(tf) - {"search graph"}
+
+
+def test_ranks_of_one_query_come_from_ranges(spark):
+    rows = spark.range(500).select((F.col("id") % 2).alias("query_id"), (F.col("id") % 13 / 10).alias("score"), F.col("id").alias("seq"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        done = R.numbered(rows, [F.desc("score"), F.col("seq")])
+        got = {(r.query_id, r.seq): r["rank"] for r in done.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = rows.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "seq"))).collect()
+    assert got == {(r.query_id, r.seq): r.n for r in want}
