@@ -49,6 +49,14 @@ def test_phrases_are_found_as_by_contains(spark, seed):
     assert {(x.w, x.id) for x in best.collect()} == {(w, i) for w, v in held.items() for i in sorted(v, key=lambda i: (-(i % 5), i))[:2]}
 
 
+def test_phrases_leave_no_plan_of_the_index_behind(spark):
+    index = P.phrase_index(spark.createDataFrame([(1, "graph search of graphs"), (2, "a graph")], "id int, t string"))
+    for words, want in ((["graph", "rap"], {("graph", 1), ("graph", 2), ("rap", 1), ("rap", 2)}), (["a graph", "search of gr", "graph"], {("a graph", 2), ("search of gr", 1), ("graph", 1), ("graph", 2)}), ([" "], set())):
+        rows = P.holding(index, spark.createDataFrame([(w,) for w in words], "w string"))
+        assert {(x.w, x.id) for x in rows.collect()} == want
+        assert "Exchange" not in plan_of(rows) and "Join" not in plan_of(rows)
+
+
 def test_all_registered_questions_meet_the_papers_without_a_nested_loop(spark, sf_dir):
     g = star_graph(spark, sf_dir)
     asked = kept(Q.analyzed(questions(spark, sf_dir)).where("status = 'ok'").select("query_id", "entities"))
