@@ -58,3 +58,26 @@ def test_scores_equal_a_plain_loop(spark):
 
     assert got == pytest.approx({k: plain(t) for k, t in enumerate(texts)}, abs=1e-3)
     assert area([got[k] for k in range(90)], [k % 3 == 0 for k in range(90)]) > 0.99
+
+
+def test_every_labelled_document_is_learnt_from(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    pool = ["".join(r.choice(list("abcdefgh"), 6)) for _ in range(80)]
+    texts = [" ".join(r.choice(pool, 20)) + (" vile nasty" if k % 4 == 0 else "") for k in range(400)]
+    # A long document, and one that repeats with the same text.
+    texts[1] = " ".join(r.choice(pool, 50_000))
+    docs = spark.createDataFrame([*[(k, t, "en") for k, t in enumerate(texts)], (2, texts[2], "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "BLOCK", 50)
+    blocks, n = toxicity.labelled_blocks(docs, labels, "doc_id", "text", "toxic", "lang")
+    packs = blocks.collect()
+    assert len(packs) > 4 and sum(n.values()) == 400
+    assert sum(len(p.words) // 8 for p in packs) == sum(len(toxicity._WORDS.findall(t)) for t in texts)
+    # Counts are those of all the documents, whatever the block.
+    want = np.zeros((2, toxicity.BUCKETS))
+    for k, t in enumerate(texts):
+        want[int(k % 4 == 0), np.unique(toxicity.Hasher()(t))] += 1
+    assert (toxicity.document_counts(blocks, True) == want).all()
+    model = toxicity.fit(docs, labels)
+    got = {x.doc_id: x.score for x in toxicity.score(docs, model).collect()}
+    assert area([got[k] for k in range(400)], [k % 4 == 0 for k in range(400)]) > 0.99
