@@ -61,11 +61,22 @@ def summary(papers: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(peak)).crossJoin(F.broadcast(middle))
 
 
+#: Pairs that one task of ``collaborations`` gathers on average.
+PAIRS = 200_000
+
+
 def collaborations(papers: DataFrame) -> DataFrame:
-    """papers (paper_id, author_names, citation_count): statistics of each pair in the order of the author list."""
-    # Pairs are made inside a row, from its own list, so no shuffle comes before the aggregate.
+    """papers (paper_id, author_names, citation_count): statistics of each pair in the order of the author list.
+
+    The lists are written and their pairs counted first, so that the number of tasks, not the size of one, grows with the pairs.
+    """
+    papers = kept(papers.where("size(author_names) > 1").select("author_names", "citation_count"))
+    n = F.size("author_names").cast("long")
+    pairs = papers.agg(F.sum(F.floor(n * (n - 1) / 2))).first()[0] or 0
+    # Pairs are made inside a row, from its own list.
     pair = lambda a, i: F.transform(F.slice(F.col("author_names"), i + 2, F.greatest(F.size("author_names") - i - 1, F.lit(0))), lambda b: F.struct(a.alias("author1"), b.alias("author2")))
-    rows = papers.where("size(author_names) > 1").select("citation_count", F.explode(F.flatten(F.transform("author_names", pair))).alias("p")).select("p.*", "citation_count")
+    rows = papers.select("citation_count", F.explode(F.flatten(F.transform("author_names", pair))).alias("p")).select("p.*", "citation_count")
+    rows = rows.repartition(max(1, -(-pairs // PAIRS)), "author1", "author2")
     c = F.coalesce("citation_count", F.lit(0))
     return rows.groupBy("author1", "author2").agg(F.count("*").alias("collaboration_count"), F.sum(c).alias("total_citations"), F.round(F.avg(c), 2).alias("avg_citations"))
 

@@ -86,3 +86,19 @@ def test_ranks_of_one_query_come_from_ranges(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want = rows.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "seq"))).collect()
     assert got == {(r.query_id, r.seq): r.n for r in want}
+
+
+def test_tasks_of_collaborations_grow_with_the_pairs(spark, monkeypatch):
+    from paperlake.operators import analytics as S
+
+    monkeypatch.setattr(S, "PAIRS", 10, raising=False)
+    lists = [[f"a{j}" for j in range(i % 5)] for i in range(40)]
+    out = S.collaborations(spark.createDataFrame([(i, names, i) for i, names in enumerate(lists)], "paper_id int, author_names array<string>, citation_count int"))
+    want = {}
+    for i, names in enumerate(lists):
+        for x in range(len(names)):
+            for y in names[x + 1 :]:
+                want.setdefault((names[x], y), []).append(i)
+    got = {(r.author1, r.author2): (r.collaboration_count, r.total_citations) for r in out.collect()}
+    assert got == {p: (len(v), sum(v)) for p, v in want.items()}
+    assert out.rdd.getNumPartitions() == -(-sum(map(len, want.values())) // 10)
