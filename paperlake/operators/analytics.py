@@ -73,7 +73,8 @@ def collaborations(papers: DataFrame) -> DataFrame:
     papers = kept(papers.where("size(author_names) > 1").select("author_names", "citation_count"))
     n = F.size("author_names").cast("long")
     pairs = papers.agg(F.sum(F.floor(n * (n - 1) / 2))).first()[0] or 0
-    # Pairs are made inside a row, from its own list.
+    # Pairs are made inside a row, from its own list, in tasks of bounded size too: a shuffle's writer buffers what its task sends.
+    papers = papers.repartition(max(1, -(-pairs // (4 * PAIRS))))
     pair = lambda a, i: F.transform(F.slice(F.col("author_names"), i + 2, F.greatest(F.size("author_names") - i - 1, F.lit(0))), lambda b: F.struct(a.alias("author1"), b.alias("author2")))
     rows = papers.select("citation_count", F.explode(F.flatten(F.transform("author_names", pair))).alias("p")).select("p.*", "citation_count")
     rows = rows.repartition(max(1, -(-pairs // PAIRS)), "author1", "author2")
