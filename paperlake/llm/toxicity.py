@@ -9,7 +9,8 @@ plain back-propagation through the pooled positions with Adagrad steps, and the
 Every labelled document counts, whatever its length: a fifth, by a hash of the id, validates and all others are learnt from. They lie in
 blocks of some ``BLOCK`` documents or ``BLOCK_WORDS`` words, dealt by a hash. Documents of buckets are counted over all blocks; in
 each epoch every block is a task that trains on from the same model, and a bucket's changes are averaged over the blocks that touched it, all other
-parameters over all blocks (local SGD; one block is plain SGD). The driver holds the model alone, and for thresholds the counts of
+parameters over all blocks (local SGD; one block is plain SGD). A block is a partition of its own with a row for each document, written as one file, and a
+task reads its files one block after the other. The driver holds the model alone, and for thresholds the counts of
 validation documents by logit, rounded to 1 / ``GRID``. Scores are calibrated on the validation part so
 that the best global threshold lies at ``CUT``; ``thresholds`` holds one for each language with enough validation
 documents of both classes (the language picks a threshold, it is never an input of a score), otherwise ``CUT``. Where the fifth or the rest lacks
@@ -30,7 +31,6 @@ from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,14 +46,14 @@ _WORDS = re.compile(r"[^\W_]+")
 
 
 class Hasher:
-    """Two bucket numbers for each word of a text, of the word and of its stem; remembers up to 2**18 words."""
+    """Two bucket numbers for each word of a text, of the word and of its stem; remembers up to 2**16 words."""
 
     def __init__(self):
         self.known: dict[str, int] = {}
 
     def __call__(self, text: str) -> np.ndarray:
         words = _WORDS.findall(text.lower())
-        if len(self.known) >= 1 << 18:
+        if len(self.known) >= 1 << 16:
             self.known.clear()
         known = self.known
         for w in set(words).difference(known):
@@ -176,27 +176,53 @@ def learn(p: dict, sums: dict, docs: list[np.ndarray], labels: np.ndarray, weigh
     return touched_ever[:BUCKETS]
 
 
-PACK = "block long, labels binary, held binary, langs array<string>, lengths binary, words binary"
+ROWS = "block int, id long, label int, held boolean, lang string, words binary"
 PIECES = "piece int, block long, data binary"
 
 
-def unpacked(row: dict) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The documents, labels and validation marks of a block."""
-    ends = np.cumsum(np.frombuffer(row["lengths"], np.int64))[:-1]
-    return np.split(np.frombuffer(row["words"], np.int32).reshape(-1, 2), ends), np.frombuffer(row["labels"], np.int64), np.frombuffer(row["held"], np.bool_)
+@dataclass
+class Block:
+    number: int
+    docs: list[np.ndarray]  # the bucket numbers of each document's words, two a word
+    labels: np.ndarray
+    held: np.ndarray
+    langs: list[str | None]
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """The blocks among rows of ROWS, in which the rows of a block stand together; texts are not copied."""
+    parts: list[pa.RecordBatch] = []
+
+    def whole() -> Block:
+        docs = [np.frombuffer(w.as_buffer(), np.int32).reshape(-1, 2) for p in parts for w in p.column("words")]
+        labels, held = (np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in ("label", "held"))
+        return Block(parts[0].column("block")[0].as_py(), docs, labels.astype(np.int64), held.astype(np.bool_), [x for p in parts for x in p.column("lang").to_pylist()])
+
+    for b in batches:
+        names = b.column("block").to_numpy()
+        edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(b)]
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            if low == high:
+                continue
+            if parts and parts[0].column("block")[0].as_py() != names[low]:
+                yield whole()
+                parts.clear()
+            parts.append(b.slice(low, high - low))
+    if parts:
+        yield whole()
 
 
 def summed(pieces: DataFrame, width: int) -> dict[int, np.ndarray]:
     """The sum of each piece over the blocks, in their order."""
 
-    def add(rows):
-        rows = rows.sort_values("block")
-        total = np.zeros(len(rows["data"].iloc[0]) // 4, np.float64)
+    def add(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("block")
+        total = np.zeros(len(rows["data"][0].as_buffer()) // 4, np.float64)
         for d in rows["data"]:
-            total += np.frombuffer(d, np.float32)
-        return rows.iloc[:1][["piece"]].assign(data=total.tobytes())
+            total += np.frombuffer(d.as_buffer(), np.float32)
+        return pa.table({"piece": rows["piece"].slice(0, 1), "data": pa.array([total.tobytes()], pa.binary())})
 
-    got = pieces.groupBy("piece").applyInPandas(add, "piece int, data binary").collect()
+    got = pieces.groupBy("piece").applyInArrow(add, "piece int, data binary").collect()
     return {r["piece"]: np.frombuffer(r["data"], np.float64).reshape(-1, width) if r["piece"] >= 0 else np.frombuffer(r["data"], np.float64) for r in got}
 
 
@@ -211,13 +237,11 @@ def document_counts(blocks: DataFrame, both: bool) -> np.ndarray:
     """(2, BUCKETS): the documents of each class that hold each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                docs, labels, held = unpacked(row)
-                seen = np.zeros((BUCKETS, 2))
-                for k in np.flatnonzero(~held | both):
-                    seen[np.unique(docs[k]), labels[k]] += 1
-                yield of_pieces(row["block"], seen)
+        for b in blocks_of(batches):
+            seen = np.zeros((BUCKETS, 2))
+            for k in np.flatnonzero(~b.held | both):
+                seen[np.unique(b.docs[k]), b.labels[k]] += 1
+            yield of_pieces(b.number, seen)
 
     got = summed(blocks.mapInArrow(run, PIECES), 2)
     return np.concatenate([got[i] for i in sorted(got)]).T
@@ -229,16 +253,14 @@ def epoch_over(blocks: DataFrame, p: dict, sums: dict, both: bool, weights: tupl
     rest = [k for k in p if k != "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                docs, labels, held = unpacked(row)
-                before, sums_before = shared.value
-                now, sums_now = ({k: v.copy() for k, v in x.items()} for x in (before, sums_before))
-                rng = np.random.default_rng([*seed, row["block"]])
-                touched = learn(now, sums_now, docs, labels, weights, rate, rng.permutation(np.flatnonzero(~held | both)))
-                moved = np.column_stack([now["words"] - before["words"], sums_now["words"] - sums_before["words"]])[:BUCKETS]
-                flat = [(x[k] - y[k]).ravel() for x, y in ((now, before), (sums_now, sums_before)) for k in rest]
-                yield of_pieces(row["block"], np.column_stack([moved, touched]), np.concatenate([*flat, np.ones(1)]))
+        for b in blocks_of(batches):
+            before, sums_before = shared.value
+            now, sums_now = ({k: v.copy() for k, v in x.items()} for x in (before, sums_before))
+            rng = np.random.default_rng([*seed, b.number])
+            touched = learn(now, sums_now, b.docs, b.labels, weights, rate, rng.permutation(np.flatnonzero(~b.held | both)))
+            moved = np.column_stack([now["words"] - before["words"], sums_now["words"] - sums_before["words"]])[:BUCKETS]
+            flat = [(x[k] - y[k]).ravel() for x, y in ((now, before), (sums_now, sums_before)) for k in rest]
+            yield of_pieces(b.number, np.column_stack([moved, touched]), np.concatenate([*flat, np.ones(1)]))
 
     got = summed(blocks.mapInArrow(run, PIECES), DIM + 2)
     shared.unpersist()
@@ -263,12 +285,10 @@ def judged(blocks: DataFrame, model: Model, both: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(**shared.value)
         tables = m.tables()
-        for b in batches:
-            for row in b.to_pylist():
-                docs, labels, held = unpacked(row)
-                some = np.flatnonzero(held | both)
-                steps = [round(m.logit(docs[k], tables) * GRID) for k in some]
-                yield pa.RecordBatch.from_arrays([pa.array([row["langs"][k] for k in some], pa.string()), pa.array(steps, pa.int64()), pa.array(labels[some], pa.int64())], names=["lang", "step", "label"])
+        for b in blocks_of(batches):
+            some = np.flatnonzero(b.held | both)
+            steps = [round(m.logit(b.docs[k], tables) * GRID) for k in some]
+            yield pa.RecordBatch.from_arrays([pa.array([b.langs[k] for k in some], pa.string()), pa.array(steps, pa.int64()), pa.array(b.labels[some], pa.int64())], names=["lang", "step", "label"])
 
     return blocks.mapInArrow(run, "lang string, step long, label long").groupBy("lang", "step").agg(F.count("*").alias("n"), F.sum("label").alias("hit"))
 
@@ -278,7 +298,7 @@ def by_step(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def labelled_blocks(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, lang_col: str | None) -> tuple[DataFrame, dict]:
-    """(rows of PACK, documents by (held, label)): every labelled document, packed by block."""
+    """(rows of ROWS, documents by (held, label)): every labelled document, by block."""
     own, kind, told = long_id(docs, id_col), long_id(labels, id_col), named(label_col)
     known = cut(labels.where(told.isNotNull() & kind.isNotNull()).groupBy(kind.alias("id")).agg((F.max(told) > 0).cast("int").alias("label")))
     lang = named(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
@@ -295,26 +315,22 @@ def labelled_blocks(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("words")), F.lit(0)).alias("bytes")).first()
     blocks = max(1, -(-size["n"] // BLOCK), -(-size["bytes"] // (8 * BLOCK_WORDS)))
 
-    def pack(b):
-        b = b.sort_values(["id", "words", "lang"]).drop_duplicates(["id", "words"])
-        lengths = b["words"].str.len().to_numpy(np.int64) // 8
-        one = {"block": b["block"].iloc[0], "labels": b["label"].to_numpy(np.int64).tobytes(), "held": b["held"].to_numpy(np.bool_).tobytes(), "langs": [x if isinstance(x, str) else None for x in b["lang"]]}
-        return pd.DataFrame([one | {"lengths": lengths.tobytes(), "words": b"".join(b["words"])}])
-
-    # Equal rows of one id meet in one block and count once.
-    dealt = rows.withColumns({"block": F.pmod(F.xxhash64("id", "words"), F.lit(blocks)), "held": F.pmod(F.xxhash64("id", F.lit("held")), F.lit(5)) == 0})
-    packed = cut(dealt.repartition(blocks, "block").groupBy("block").applyInPandas(pack, PACK))
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            ids, words, keep = b.column("id").to_numpy(), b.column("words"), np.ones(len(b), bool)
+            for k in range(len(b)):
+                keep[k] = last is None or last[0] != ids[k] or last[1] != words[k]
+                last = (ids[k], words[k])
+            yield b if keep.all() else b.filter(pa.array(keep))
+
+    # Equal rows of one id meet in one block and count once, in the first language.
+    dealt = rows.withColumns({"block": F.pmod(F.xxhash64("id", "words"), F.lit(blocks)).cast("int"), "held": F.pmod(F.xxhash64("id", F.lit("held")), F.lit(5)) == 0})
+    by_block = dealt.repartitionById(blocks, "block").sortWithinPartitions("block", "id", "words", F.col("lang").asc_nulls_last())
+    packed = cut(by_block.select("block", "id", "label", "held", "lang", "words").mapInArrow(once, ROWS))
     drop_cut(rows)
     drop_cut(known)
-
-    def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                held, of = np.frombuffer(row["held"], np.bool_), np.frombuffer(row["labels"], np.int64)
-                n = [(h, y, int(((held == h) & (of == y)).sum())) for h in (False, True) for y in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*n, strict=True)], names=["held", "label", "n"])
-
-    counts = packed.select("labels", "held").mapInArrow(shape, "held boolean, label long, n long").groupBy("held", "label").agg(F.sum("n").alias("n")).collect()
+    counts = packed.groupBy("held", "label").agg(F.count("*").alias("n")).collect()
     return packed, {(r["held"], r["label"]): r["n"] for r in counts}
 
 

@@ -81,3 +81,18 @@ def test_every_labelled_document_is_learnt_from(spark, monkeypatch):
     model = toxicity.fit(docs, labels)
     got = {x.doc_id: x.score for x in toxicity.score(docs, model).collect()}
     assert area([got[k] for k in range(400)], [k % 4 == 0 for k in range(400)]) > 0.99
+
+
+def test_a_task_gets_one_document_a_row_and_one_block_a_file(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"word{k} " * 20, "en") for k in range(600)] + [(5, "word5 " * 20, None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(600)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "BLOCK", 20)
+    blocks, n = toxicity.labelled_blocks(docs, labels, "doc_id", "text", "toxic", "lang")
+    rows = blocks.selectExpr("block", "length(words) AS bytes", "input_file_name() AS file").collect()
+    # Whole blocks as single rows, several in one task, had taken more than an executor's memory.
+    assert len(rows) == sum(n.values()) == 600 and max(r.bytes for r in rows) == 8 * 20
+    files = {(r.file, r.block) for r in rows}
+    assert len(files) == len({f for f, _ in files}) == len({b for _, b in files}) == 31  # 601 rows, one of them twice
+    got = list(toxicity.blocks_of(iter(blocks.repartition(1).sortWithinPartitions("block").toArrow().to_batches(max_chunksize=7))))
+    assert sorted(b.number for b in got) == list(range(31)) and sum(len(b.docs) for b in got) == 600
+    assert all(len(b.docs) == len(b.labels) == len(b.held) == len(b.langs) for b in got)
