@@ -25,7 +25,6 @@ threshold; other columns pass through; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -35,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, long_id, named, text_of, worker_memory
+from .common import cut, drop_cut, long_id, named, text_of
 from .membership import split_by_key
 
 BUCKETS, STEM, DIM, WIDTHS, FILTERS = 1 << 17, 4, 8, (1, 2, 3), 8
@@ -379,14 +378,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str |
     lang = named(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept] or [F.lit(0).alias("none")]).alias("row"), text_of(text_col).alias("text"), lang.alias("lang"))
 
-    name = f"toxicity {uuid.uuid4().hex}"
-
-    def load() -> tuple:
-        m = Model(**shared.value)
-        return m, m.tables(), Hasher()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, tables, of = worker_memory(name, load)
+        # Loaded by each task: what a worker keeps counts against an executor's memory in all later stages.
+        m, of = Model(**shared.value), Hasher()
+        tables = m.tables()
         for b in batches:
             scores = [m.score(m.logit(of(t.as_py()), tables)) for t in b.column("text")]
             cuts = [m.thresholds.get(x.as_py(), CUT) for x in b.column("lang")]
