@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, worker_memory
+from .common import text_of, tidy, worker_memory
 
 REMEMBERED = 1 << 18
 #: Characters a batch of results may hold before it is sent on.
@@ -158,5 +158,5 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", carry: list
                 yield pa.RecordBatch.from_arrays(cols, names=["row", *added])
 
     schema = f"row {source.schema['row'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decoded
-    done = source.mapInArrow(run, schema)
+    done = source.mapInArrow(tidy(run, keeps=True), schema)
     return done.select(*[F.col("row")[c].alias(c) for c in kept], *added)

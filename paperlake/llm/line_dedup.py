@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, long_id, text_of
+from .common import cut, drop_cut, long_id, text_of, tidy
 from .membership import split_by_key
 
 EDITS, MIN_WORDS = 1, 5
@@ -119,7 +119,7 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([b.column("k1").take(at), b.column("k2").take(at), pa.array(line, pa.int32()), signed(own), signed(other), halves], names=["k1", "k2", "line", "own", "other", "halves"])
                     who, line, own, other, flat, ends = [], [], [], [], [], [0]
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, line int, own long, other long, halves array<long>")
+    return docs.select("k1", "k2", "text").mapInArrow(tidy(run), "k1 long, k2 long, line int, own long, other long, halves array<long>")
 
 
 def _variants(docs: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def _variants(docs: DataFrame) -> DataFrame:
                         out[n].append(x)
                 yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
-    return docs.select("k1", "k2", "text", "want").mapInArrow(run, "k1 long, k2 long, line int, own long, other long, said string, keys array<long>, places array<int>")
+    return docs.select("k1", "k2", "text", "want").mapInArrow(tidy(run), "k1 long, k2 long, line int, own long, other long, said string, keys array<long>, places array<int>")
 
 
 def _near(pairs: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def _near(pairs: DataFrame) -> DataFrame:
             ok = pa.array([within(words_of(x), words_of(y)) for x, y in zip(b.column("said").to_pylist(), b.column("mate").to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(c).filter(ok) for c in ("own", "other")], names=["own", "other"])
 
-    return pairs.select("own", "other", "said", "mate").mapInArrow(run, "own long, other long")
+    return pairs.select("own", "other", "said", "mate").mapInArrow(tidy(run), "own long, other long")
 
 
 def removed_lines(keyed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop_cut, long_id, named, text_of
+from .common import components, cut, drop_cut, long_id, named, text_of, tidy
 from .membership import split_by_key
 
 BANDS, ROWS = 45, 7
@@ -163,7 +163,7 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
                 )
 
     given = docs.select(long_id(docs, id_col).alias("id"), text_of(text_col).alias("text"))
-    return given.mapInArrow(run, "id long, n long, same binary, bands array<long>, bits binary")
+    return given.mapInArrow(tidy(run), "id long, n long, same binary, bands array<long>, bits binary")
 
 
 def shingle_set(text: str, k: int) -> set:
@@ -192,7 +192,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     needed = cut(split_by_key(docs, wanted, ["id"])[0].join(wanted, "id"))
     text = lambda s: needed.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}"))
-    return pairs.select("a", "b").join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -211,7 +211,7 @@ def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     side = lambda s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
     met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    return met.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+    return met.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def mixed_buckets(keyed: DataFrame, roots: DataFrame) -> DataFrame:
@@ -299,7 +299,7 @@ def cross_pairs(open_: DataFrame, percent: int, nearest: int | None) -> DataFram
             yield from pairs_of(held)
 
     met = others.select(*cols).unionByName(minors.select(*cols)).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _batch(pairs: list[np.ndarray]) -> pa.RecordBatch:

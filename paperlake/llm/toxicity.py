@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, long_id, named, text_of
+from .common import cut, drop_cut, long_id, named, text_of, tidy
 from .membership import split_by_key
 
 BUCKETS, STEM, DIM, WIDTHS, FILTERS = 1 << 17, 4, 8, (1, 2, 3), 8
@@ -242,7 +242,7 @@ def document_counts(blocks: DataFrame, both: bool) -> np.ndarray:
                 seen[np.unique(b.docs[k]), b.labels[k]] += 1
             yield of_pieces(b.number, seen)
 
-    got = summed(blocks.mapInArrow(run, PIECES), 2)
+    got = summed(blocks.mapInArrow(tidy(run), PIECES), 2)
     return np.concatenate([got[i] for i in sorted(got)]).T
 
 
@@ -261,7 +261,7 @@ def epoch_over(blocks: DataFrame, p: dict, sums: dict, both: bool, weights: tupl
             flat = [(x[k] - y[k]).ravel() for x, y in ((now, before), (sums_now, sums_before)) for k in rest]
             yield of_pieces(b.number, np.column_stack([moved, touched]), np.concatenate([*flat, np.ones(1)]))
 
-    got = summed(blocks.mapInArrow(run, PIECES), DIM + 2)
+    got = summed(blocks.mapInArrow(tidy(run), PIECES), DIM + 2)
     shared.unpersist()
     other = got.pop(-1)
     table = np.concatenate([got[i] for i in sorted(got)])
@@ -289,7 +289,7 @@ def judged(blocks: DataFrame, model: Model, both: bool) -> DataFrame:
             steps = [round(m.logit(b.docs[k], tables) * GRID) for k in some]
             yield pa.RecordBatch.from_arrays([pa.array([b.langs[k] for k in some], pa.string()), pa.array(steps, pa.int64()), pa.array(b.labels[some], pa.int64())], names=["lang", "step", "label"])
 
-    return blocks.mapInArrow(run, "lang string, step long, label long").groupBy("lang", "step").agg(F.count("*").alias("n"), F.sum("label").alias("hit"))
+    return blocks.mapInArrow(tidy(run), "lang string, step long, label long").groupBy("lang", "step").agg(F.count("*").alias("n"), F.sum("label").alias("hit"))
 
 
 def by_step(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -310,7 +310,7 @@ def labelled_blocks(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
             ids = pa.array([of(t.as_py()).tobytes() for t in b.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "label", "lang")), ids], names=["id", "label", "lang", "words"])
 
-    rows = cut(found.mapInArrow(hashed, "id long, label int, lang string, words binary"))
+    rows = cut(found.mapInArrow(tidy(hashed), "id long, label int, lang string, words binary"))
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("words")), F.lit(0)).alias("bytes")).first()
     blocks = max(1, -(-size["n"] // BLOCK), -(-size["bytes"] // (8 * BLOCK_WORDS)))
 
@@ -326,7 +326,7 @@ def labelled_blocks(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     # Equal rows of one id meet in one block and count once, in the first language.
     dealt = rows.withColumns({"block": F.pmod(F.xxhash64("id", "words"), F.lit(blocks)).cast("int"), "held": F.pmod(F.xxhash64("id", F.lit("held")), F.lit(5)) == 0})
     by_block = dealt.repartitionById(blocks, "block").sortWithinPartitions("block", "id", "words", F.col("lang").asc_nulls_last())
-    packed = cut(by_block.select("block", "id", "label", "held", "lang", "words").mapInArrow(once, ROWS))
+    packed = cut(by_block.select("block", "id", "label", "held", "lang", "words").mapInArrow(tidy(once), ROWS))
     drop_cut(rows)
     drop_cut(known)
     counts = packed.groupBy("held", "label").agg(F.count("*").alias("n")).collect()
@@ -376,16 +376,20 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str |
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     kept = [c for c in (docs.columns if carry is None else carry) if c not in ("score", "threshold", "rejected")]
     lang = named(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept] or [F.lit(0).alias("none")]).alias("row"), text_of(text_col).alias("text"), lang.alias("lang"))
+    # A text that travels in the row is read there: sent beside it, a batch would hold it twice, in the JVM and in the worker.
+    inside = kept.index(text_col) if text_col in kept and dict(docs.dtypes)[text_col] == "string" else None
+    beside = [] if inside is not None else [text_of(text_col).alias("text")]
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept] or [F.lit(0).alias("none")]).alias("row"), *beside, lang.alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Loaded by each task: what a worker keeps counts against an executor's memory in all later stages.
         m, of = Model(**shared.value), Hasher()
         tables = m.tables()
         for b in batches:
-            scores = [m.score(m.logit(of(t.as_py()), tables)) for t in b.column("text")]
+            texts = b.column("text") if inside is None else b.column("row").field(inside)
+            scores = [m.score(m.logit(of(t.as_py() or ""), tables)) for t in texts]
             cuts = [m.thresholds.get(x.as_py(), CUT) for x in b.column("lang")]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(scores, pa.float64()), pa.array(cuts, pa.float64())], names=["row", "score", "threshold"])
 
-    done = given.mapInArrow(run, f"row {given.schema['row'].dataType.simpleString()}, score double, threshold double")
+    done = given.mapInArrow(tidy(run), f"row {given.schema['row'].dataType.simpleString()}, score double, threshold double")
     return done.select(*[F.col("row")[c].alias(c) for c in kept], "score", "threshold", (F.col("score") >= F.col("threshold")).alias("rejected"))
