@@ -1,5 +1,6 @@
 """Phrase index, strategies of the hybrid search, sparse search by blocks and rank counts against brute force."""
 
+import re
 from collections import defaultdict
 from dataclasses import replace
 
@@ -57,6 +58,27 @@ def test_phrases_leave_no_plan_of_the_index_behind(spark):
         assert "Exchange" not in plan_of(rows) and "Join" not in plan_of(rows)
 
 
+def test_hybrid_search_broadcasts_nothing_that_grows(spark, sf_dir, monkeypatch):
+    """However small files look, phrases, nodes and papers meet by shuffles; questions are analysed from a written table by one plan."""
+    plans = []
+
+    def seen(df):
+        plans.append(plan_of(df).split("== Physical Plan ==")[1])
+        return kept(df)
+
+    for m in (P, hybrid):
+        monkeypatch.setattr(m, "kept", seen)
+    g = star_graph(spark, sf_dir)
+    asked = questions(spark, sf_dir)
+    rows = hybrid.hybrid(g, asked, 5, index=hybrid.text_index(g))
+    assert rows.count() > 50 and sum("SortMergeJoin" in p for p in plans) > 15
+    # What is left are joins with the given tables' own keys, and each question's two extremes.
+    joins = {re.sub(r"#\d+L?", "", x) for p in plans if "_lo" not in p for x in re.findall(r"BroadcastHashJoin (\[.*?\], \[.*?\])", p)}
+    assert joins <= {"[l_partkey], [p_partkey]", "[o_custkey], [c_custkey]", "[author_id], [id]", "[venue_id], [id]"}
+    first = next(p for p in plans if "specific" in p)
+    assert "LocalTableScan" not in first and "Union" not in first
+
+
 def test_all_registered_questions_meet_the_papers_without_a_nested_loop(spark, sf_dir):
     g = star_graph(spark, sf_dir)
     asked = kept(Q.analyzed(questions(spark, sf_dir)).where("status = 'ok'").select("query_id", "entities"))
