@@ -96,3 +96,21 @@ def test_a_task_gets_one_document_a_row_and_one_block_a_file(spark, monkeypatch)
     got = list(toxicity.blocks_of(iter(blocks.repartition(1).sortWithinPartitions("block").toArrow().to_batches(max_chunksize=7))))
     assert sorted(b.number for b in got) == list(range(31)) and sum(len(b.docs) for b in got) == 600
     assert all(len(b.docs) == len(b.labels) == len(b.held) == len(b.langs) for b in got)
+
+
+def test_documents_are_scored_together(monkeypatch):
+    """Logits as by a plain loop over words and filters, whatever lies beside a document; short documents share their lookups, long ones are cut."""
+    monkeypatch.setattr(toxicity, "TOGETHER", 64, raising=False)
+    r = np.random.default_rng(5)
+    model = toxicity.model_of(toxicity.start(3)[0])
+    docs = [r.integers(0, toxicity.BUCKETS, (int(n), 2)).astype(np.int32) for n in [*r.integers(0, 6, 300), 500, 0, 64, 65, 1, 190, 2]]
+    calls, plain = [], toxicity.pooled
+    monkeypatch.setattr(toxicity, "pooled", lambda parts, table: calls.append(sum(map(len, parts))) or plain(parts, table))
+    got = model.logits(iter(docs), model.table())
+    assert len(calls) < 60 and max(calls) <= 2 * 64
+    for ids, z in zip(docs, got, strict=True):
+        x = toxicity.padded(ids)
+        e = model.words[x[:, 0]].astype(float) + model.words[x[:, 1]]
+        best = [max(sum(e[i + j] @ f[j, :, c] for j in range(len(f))) for i in range(len(x) - len(f) + 1)) for f in model.filters for c in range(toxicity.FILTERS)]
+        assert abs(z - float(np.maximum(np.array(best) + model.shift, 0) @ model.out + model.bias)) < 1e-4
+    assert got == [model.logits([ids], model.table())[0] for ids in docs] and model.logits([], model.table()) == []
